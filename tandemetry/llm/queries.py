@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, token_counts
+from . import decontaminate, packing, quality_rules, secret_scan, sharding, token_counts, url_filter
 from .common import prepare, tokenizer_path
 from .oracles import ORACLES
 
@@ -17,6 +17,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The contract's rules.
+URL_RULES = (
+    url_filter.UrlRule("allow", "com", "/"),
+    url_filter.UrlRule("block", "example.com", "/en/"),
+    url_filter.UrlRule("allow", "www.example.com", "/en/"),
+    url_filter.UrlRule("block", "net", "/es/"),
+    url_filter.UrlRule("block", "net", "/fr/"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label with its number: good if of quality and not toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0).alias("good"))
+    judged = url_filter.filter_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.drop("ids")
@@ -36,6 +54,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
