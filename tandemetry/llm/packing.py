@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load_tokenizer, prepare
-from .token_counts import LONGEST, ODD_SPACE
+from .pretokens import Runs, ids_as_bytes, plain_space
 
 END_ID = 2
-CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -145,31 +144,9 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str | N
     return rows.mapInArrow(pack, schema)
 
 
-class IdCache(dict):
-    """White-space-free run to its ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[run] = ids
-        return ids
-
-
-def encode_document(text: str, cache: IdCache) -> bytes:
+def encode_document(text: str, runs: Runs) -> bytes:
     """The text's ids as bytes. The tokenizer drops white space and joins nothing across it, so runs encode on their own."""
-    if not text.isascii() and ODD_SPACE.search(text):
-        return np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    runs = text.translate(SPACES).split(" ")
-    return b"".join(map(cache.__getitem__, filter(None, runs)))
-
-
-SPACES = {c: " " for c in range(9, 14)}
+    return b"".join(map(runs.__getitem__, text.split())) if plain_space(text) else runs.whole(text)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
@@ -178,11 +155,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    end = np.array([end_id], "<u4").tobytes()
+    end = ids_as_bytes([end_id])
     names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = IdCache(load_tokenizer(tokenizer)), []
+        runs, out = Runs(load_tokenizer(tokenizer), ids_as_bytes, b"".join), []
 
         def place(key, start, length, sequence, offset):
             at, ids = key
@@ -198,7 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         for batch in batches:
             kind = batch.column(0).type
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode_document(text or "", cache) + end
+                ids = encode_document(text or "", runs) + end
                 packer.add((at, ids), len(ids) // 4, len(ids) // 4)
                 if len(out) >= 5000:
                     yield made(kind)

@@ -6,7 +6,8 @@ non-space characters with the one space before it, or a run of white space: a un
 own split pattern, so lengths add up exactly to the length of the whole text. No pre-token is shuffled; to find the
 frequent ones each task sends a summary of at most ``slots`` entries.
 
-The table decides only which tier answers, never a count. Its size is bounded by ``slots`` whatever the corpus.
+The table decides only which tier answers, never a count. Its size is bounded by ``slots``
+whatever the corpus.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; null ids stay null; repeated rows are counted each;
 extra columns are ignored; an empty table gives an empty table. Texts are read whole, in slices of matches, so a very
@@ -25,14 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, prepare
+from .common import load_tokenizer, materialize, prepare
+from .pretokens import LONGEST, Runs, plain_space
 
 SLOTS = 16384
-CACHE = 300_000
-#: Longer pre-tokens are encoded each time: they hardly repeat, and a cache of them wouldn't be bounded.
-LONGEST = 64
 PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -45,25 +43,9 @@ def pieces(text: str) -> Iterator[list[str]]:
         yield part
 
 
-class LengthCache(dict):
-    """Pre-token to its number of tokens; encodes what it lacks and starts anew when full."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = n
-        return n
-
-
 def frequent_pieces(docs: DataFrame, text_col: str, slots: int = SLOTS) -> list[str]:
-    """The pre-tokens frequent over all texts: each task keeps a lossy count (entries pruned to ``slots`` when they
-    exceed eight times that), the summaries are added up, the top ``slots`` come to the driver."""
+    """The pre-tokens that make up at least 1 / slots of all texts, so at most ``slots``: each task keeps a lossy count
+    (pruned when it exceeds eight times ``slots``) and sends its top ``slots``; the summaries are added up."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -77,8 +59,9 @@ def frequent_pieces(docs: DataFrame, text_col: str, slots: int = SLOTS) -> list[
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
     found = docs.select(docs[text_col].alias("text")).mapInArrow(summarise, "piece string, n long")
-    top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(slots)
-    return [r.piece for r in top.collect()]  # at most ``slots`` rows
+    counts = materialize(found.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return [r.piece for r in counts.filter(F.col("n") * slots >= total).collect()]  # at most ``slots`` rows
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -91,12 +74,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     table = spark.sparkContext.broadcast(lengths)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer)
-        known, cache = table.value.get, LengthCache(tok)
+        known, cache = table.value.get, Runs(load_tokenizer(tokenizer), len, sum)
 
         def tokens(text: str) -> int:
-            if not text.isascii() and ODD_SPACE.search(text):
-                return len(tok.encode(text, add_special_tokens=False).ids)
+            if not plain_space(text):
+                return cache.whole(text)
             n = 0
             for part in pieces(text):
                 hits = list(map(known, part))
