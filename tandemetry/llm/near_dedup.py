@@ -9,6 +9,11 @@ the other half cut in two with one bit blanked, and from there to a third that a
 shares a key at every level, so no link is lost, and at the third level the distinct fingerprints under a key are at most
 2048, as only eleven bits are free. Within a key only the links of a spanning forest leave the task, never all pairs.
 
+``COPIES`` reaches further, to texts whose five-word shingles agree to 0.8 or more: their five-word fingerprints differ in
+some ten bits of 64, too many for two halves. It indexes a 192-bit fingerprint of the distinct words, which edits disturb
+less, by six segments of 32 bits with one blanked (so any pair within eleven bits is met, and most beyond), and verifies
+by the five-word fingerprint, at most ``COPY_BITS`` apart. A crowded key is refined by a second segment.
+
 Copies share a fingerprint and are one node. Components come from repeated minimum and pointer jumping over tables in the
 shared folder.
 
@@ -19,7 +24,8 @@ kept by ``one_of_each``; an empty table gives an empty table. A text of fewer th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -34,17 +40,16 @@ SEED = 42
 MAX_BITS = 3
 #: Fingerprints under one key that are compared in place.
 RUN = 128
+COPY_SHINGLE, COPY_BITS = 5, 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """As a signed 64-bit number. bytes.lower and bytes.split know ASCII only, which is what the definition asks for."""
-    from xxhash import xxh64_intdigest
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.lower and bytes.split know ASCII only, which is what the definition asks for."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    parts = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    h = np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65280):
         bits = np.unpackbits(h[i : i + 65280].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -54,17 +59,55 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed 64-bit) for each row."""
+def _hashes(parts) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64)
+
+
+def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+    if not words:
+        return 0
+    return majority(_hashes([b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))))
+
+
+def simhash_signature(words: list[bytes]) -> tuple[int, ...]:
+    return (fingerprint(words, SHINGLE),)
+
+
+def copies_signature(words: list[bytes]) -> tuple[int, ...]:
+    """The five-word fingerprint and three of the distinct words, from one hash mixed three ways."""
+    if not words:
+        return (0, 0, 0, 0)
+    h, wide = _hashes(set(words)), []
+    for way in (1, 2, 3):
+        x = (h ^ np.uint64(way)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        wide.append(majority(x ^ (x >> np.uint64(32))))
+    return (fingerprint(words, COPY_SHINGLE), *wide)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """columns: what ``sign`` makes of a text's words, first fp, a text's node; edges: (a, b) between the nodes of such a table."""
+
+    columns: tuple[str, ...]
+    sign: Callable
+    edges: Callable[[DataFrame], DataFrame]
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
+    """doc_id and the scheme's columns for each row."""
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    names, sign = scheme.columns, scheme.sign
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            made = [sign(words_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], pa.int64()) for i in range(len(names)))], names=["doc_id", *names])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
 
 
 def _blanked(part: Column, width: int, code: int, bit: int) -> Column:
@@ -72,10 +115,13 @@ def _blanked(part: Column, width: int, code: int, bit: int) -> Column:
     return F.lit((code * width + bit) << width) + part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)))
 
 
-def _first_keys(fp: Column) -> Column:
-    """64 keys: half (0 low, 1 high), blanked bit, 32 bits."""
-    halves = (fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32))
-    return F.array(*[_blanked(h, 32, i, b) for i, h in enumerate(halves) for b in range(32)])
+def _halves(fp: Column) -> list[Column]:
+    return [fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)]
+
+
+def _first_keys(segments: list[Column]) -> Column:
+    """32 keys for each segment: its number, blanked bit, 32 bits."""
+    return F.array(*[_blanked(h, 32, i, b) for i, h in enumerate(segments) for b in range(32)])
 
 
 def _second_keys(k1: Column, fp: Column) -> Column:
@@ -107,7 +153,7 @@ def _forest(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _links(longest: int | None):
+def _links(longest: int | None, bits: int):
     """The task's function over rows (k1, k2, fp) sorted by key: links of a spanning forest of each key, or, for a key
     with more than ``longest`` fingerprints, its rows to be dealt out under finer keys."""
 
@@ -131,7 +177,7 @@ def _links(longest: int | None):
         while len(live):
             live = live[live + d < n]
             live = live[run[live] == run[live + d]]
-            near = np.bitwise_count((fp[live] ^ fp[live + d]).view(np.uint64)) <= MAX_BITS
+            near = np.bitwise_count((fp[live] ^ fp[live + d]).view(np.uint64)) <= bits
             at.append(live[near])
             to.append(live[near] + d)
             d += 1
@@ -168,25 +214,50 @@ def _links(longest: int | None):
     return run
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within MAX_BITS of each other. distinct: fp, each once."""
-    prepare(distinct.sparkSession)
-    schema = "crowded boolean, k1 long, k2 long, a long, b long"
-    found = []
-    rows = distinct.select(F.explode(_first_keys(F.col("fp"))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
-    for level in (1, 2, 3):
+_LINKS = "crowded boolean, k1 long, k2 long, a long, b long"
+
+
+def _linked(rows: DataFrame, finer: list[Callable[[DataFrame], DataFrame]], bits: int) -> DataFrame:
+    """Edges from rows (k1, k2, fp). finer: from crowded rows to rows under finer keys, level by level."""
+    prepare(rows.sparkSession)
+    edges = None
+    for level in range(len(finer) + 1):
+        last = level == len(finer)
         dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp")
-        out = materialize(dealt.mapInArrow(_links(RUN if level < 3 else None), schema), f"links{level}")
-        found.append(out.filter(~F.col("crowded")).select("a", "b"))
+        out = materialize(dealt.mapInArrow(_links(None if last else RUN, bits), _LINKS), f"links{level}")
+        found = out.filter(~F.col("crowded")).select("a", "b")
+        edges = found if edges is None else edges.union(found)
         rest = out.filter("crowded").select("k1", "k2", F.col("a").alias("fp"))
-        if level == 3 or rest.isEmpty():
-            break
-        keys = _second_keys(F.col("k1"), F.col("fp")) if level == 1 else _third_keys(F.col("k1"), F.col("k2"), F.col("fp"))
-        rows = rest.select("k1", F.explode(keys).alias("k2"), "fp")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
-    return edges.distinct()
+        if last or rest.isEmpty():
+            return edges.distinct()
+        rows = finer[level](rest)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints fp within MAX_BITS of each other."""
+    rows = fps.select("fp").distinct().select(F.explode(_first_keys(_halves(F.col("fp")))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
+    second = lambda rest: rest.select("k1", F.explode(_second_keys(F.col("k1"), F.col("fp"))).alias("k2"), "fp")
+    third = lambda rest: rest.select("k1", F.explode(_third_keys(F.col("k1"), F.col("k2"), F.col("fp"))).alias("k2"), "fp")
+    return _linked(rows, [second, third], MAX_BITS)
+
+
+def copy_links(signed: DataFrame) -> DataFrame:
+    """Edges (a, b) between five-word fingerprints within COPY_BITS that share a key of their word fingerprints."""
+    distinct = materialize(signed.select("fp", "w0", "w1", "w2").distinct(), "signatures")
+    keys = _first_keys([h for w in ("w0", "w1", "w2") for h in _halves(F.col(w))])
+    rows = distinct.select(F.explode(keys).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
+
+    def second(rest: DataFrame) -> DataFrame:
+        """Under one of the other segments as well."""
+        own = F.shiftrightunsigned("k1", 37)
+        more = rest.select("k1", "fp").distinct().join(distinct, "fp").select("k1", F.explode(keys).alias("k2"), "fp")
+        return more.filter(F.shiftrightunsigned("k2", 37) != own).distinct()
+
+    return _linked(rows, [second], COPY_BITS)
+
+
+SIMHASH = Scheme(("fp",), simhash_signature, links)
+COPIES = Scheme(("fp", "w0", "w1", "w2"), copies_signature, copy_links)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,26 +275,22 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def _rooted(fps: DataFrame) -> DataFrame:
-    """(fp, root) for the fingerprints that link to others."""
-    return components(links(fps.select("fp").distinct()))
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SIMHASH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component) for each row of docs."""
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(_rooted(fps).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    signed = materialize(signatures(docs, id_col, text_col, scheme), "signed")
+    least = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(scheme.edges(signed)).withColumnRenamed("node", "fp")
+    named = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return signed.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = COPIES) -> DataFrame:
     """The row of docs with the smallest id of each component, whole. Rows that share that id (repeats) give the least one;
     a component of null ids gives its least row. Texts are moved only for such ties, else a narrow list of ids decides."""
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    roots = materialize(_rooted(fps), "rooted")
+    fps = materialize(signatures(docs, id_col, text_col, scheme), "signed")
+    roots = components(scheme.edges(fps))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
     counted = named.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     least = counted.groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rows"))).alias("first"))
@@ -239,7 +306,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if tied_ids.isEmpty():
         return simple
     unclear = rows.join(tied_ids, F.col("row_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    again = fingerprints(unclear.select(F.struct("r", "row_id").alias("t"), "row_text"), "t", "row_text", shingle)
+    again = signatures(unclear.select(F.struct("r", "row_id").alias("t"), "row_text"), "t", "row_text", scheme)
     placed = again.join(roots, again["fp"] == roots["node"], "left").select(F.col("doc_id.r").alias("r"), F.col("doc_id.row_id").alias("row_id"), F.coalesce("root", "fp").alias("at"))
     chosen = least.select(F.col("root"), F.col("first.doc_id").alias("kept_id"))
     decided = placed.join(chosen, (F.col("at") == F.col("root")) & F.col("row_id").eqNullSafe(F.col("kept_id")))
