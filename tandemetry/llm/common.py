@@ -1,15 +1,18 @@
-"""What the text operators share: tables cut out of the lineage, the worker path, tokenizer files."""
+"""What the text operators share: the worker path, small expressions, tokenizer files; ``materialize`` writes a table to the
+shared folder and rereads it, so a lost executor costs only the tasks of the later stages."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import written as materialize
+
+__all__ = ["ascii_lower", "let", "load_tokenizer", "materialize", "prepare", "tokenizer_path"]
+
 #: The ASCII white space that ends a word, as members of a character class.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WHITE = " \t\n\x0b\f\r"
@@ -24,24 +27,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(p for p in (root, env.get("PYTHONPATH", "")) if p)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and return it reread: the lineage ends there, so a lost executor costs
-    only the tasks of the later stages, and the planner knows the table's size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would change other scripts too)."""
     return F.translate(c, UPPER, LOWER)
