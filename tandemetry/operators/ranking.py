@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import average_rank
+from .relational import ranked
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
@@ -28,9 +28,9 @@ def rank_metrics(scored: DataFrame, keys: list[str], edges: tuple[float, float])
     """n, Spearman, Kendall tau-b, MAE, RMSE and quadratic kappa of bands. scored: (keys, participant, truth, prediction)."""
     from ..functions.numeric import band
 
-    r = scored.select(*keys, "truth", "prediction", average_rank("truth", *keys).alias("rt"), average_rank("prediction", *keys).alias("rp"))
+    r = ranked(scored.select(*keys, "truth", "prediction"), keys, ["truth", "prediction"])
     err = F.col("prediction") - F.col("truth")
-    basic = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rt", "rp").alias("spearman"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    basic = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rank_truth", "rank_prediction").alias("spearman"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
     a, b = (scored.select(*keys, F.col("participant").alias(f"p{i}"), F.col("truth").alias(f"t{i}"), F.col("prediction").alias(f"q{i}")) for i in (1, 2))
     pairs = a.join(b, keys).filter(F.col("p1") < F.col("p2"))
     s = F.signum(F.col("t1") - F.col("t2")) * F.signum(F.col("q1") - F.col("q2"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def key_parts(c: Column, pattern: str, names: list[str]) -> Column:
     """A composite key's fields as a struct of strings; all null unless the whole string fits."""
@@ -18,13 +22,26 @@ def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
 
 
 def exclude_top(rows: DataFrame, id_col: str, by: str, share: float) -> DataFrame:
-    """rows without the ceil(n * share) largest by ``by`` (ties by the smaller id). The cut value comes from a distributed
-    sort: the k-th row's (by, id), then a filter, so no window over all rows."""
-    k = rows.agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).cast("int")).first()[0]
+    """rows without the ceil(n * share) largest by ``by`` (ties by the smaller id; nulls stay). The rows' (by, id) are dealt
+    out by range and written; the sizes of the ranges say in which one the last excluded row lies, and only that one is
+    sorted to its place. So no task sees more than one range."""
+    n = rows.count()
+    k = ceil(n * share)
     if not k:
         return rows
-    last = rows.select(by, id_col).orderBy(F.desc(by), F.asc(id_col)).limit(k).orderBy(F.asc(by), F.desc(id_col)).first()
-    top = (F.col(by) > last[0]) | ((F.col(by) == last[0]) & (F.col(id_col) <= last[1]))
+    keys = rows.select(F.col(by).alias("v"), F.col(id_col).alias("i")).filter(F.col("v").isNotNull())
+    dealt = written(keys.repartitionByRange(F.desc("v"), F.asc("i")).select("v", "i", F.spark_partition_id().alias("part")), "ranges")
+    before, place, last = 0, None, None
+    for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one row per range
+        if before + r.n >= k:
+            place = r.part
+            break
+        before += r.n
+    if place is None:
+        return rows.filter(F.col(by).isNull())
+    order = Window.partitionBy("part").orderBy(F.desc("v"), F.asc("i"))
+    last = dealt.filter(F.col("part") == place).withColumn("k", F.row_number().over(order)).filter(F.col("k") == k - before).first()
+    top = (F.col(by) > last.v) | ((F.col(by) == last.v) & (F.col(id_col) <= last.i))
     return rows.filter(~top | F.col(by).isNull())
 
 
@@ -47,7 +64,15 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> int:
     return left.exceptAll(right).count() + right.exceptAll(left).count()
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Rank with ties sharing their mean rank."""
-    p = Window.partitionBy(*partition)
-    return F.rank().over(p.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def ranked(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """df with rank_<value> for each value, ties sharing their mean rank. Equal values are counted first, in each task and
+    then together, so the running sums go over distinct values only; ranks come back by a join on the value."""
+    for v in values:
+        counts = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(v).alias("_v"), (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(f"rank_{v}"))
+        on = F.col(v).eqNullSafe(F.col("_v"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        df = df.join(ranks, on).drop("_v", *(f"_k_{k}" for k in keys))
+    return df

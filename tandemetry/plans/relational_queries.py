@@ -78,8 +78,8 @@ def jitter_topk_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spearman_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of a user's value and hour of day per event type, ties sharing their mean rank."""
     ev = table(spark, sf_dir, "events").select("event_type", F.floor("value").alias("a"), F.hour(F.col("ts").cast("timestamp")).alias("b"))
-    ranked = ev.select("event_type", R.average_rank("a", "event_type").alias("ra"), R.average_rank("b", "event_type").alias("rb"))
-    return ranked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("ra", "rb")).alias("rho"))
+    ranks = R.ranked(ev, ["event_type"], ["a", "b"])
+    return ranks.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("rank_a", "rank_b")).alias("rho"))
 
 
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:

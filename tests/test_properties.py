@@ -241,3 +241,18 @@ def test_ordinal_logit_orders_classes():
     k = np.digitize(x[:, 0], [-1, 1])
     w, cut = models.ordinal_fit(x, k, 3)
     assert w[0] > 1 and cut[0] < 0 < cut[1]
+
+
+def test_jackknife_leaves_a_participant_out_everywhere(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(5, 3)), rng.normal(size=5)
+    m = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "participant int, x array<double>")
+    labels = spark.createDataFrame([(i, float(y[i])) for i in range(5)], "participant int, label double")
+    got = R.nested_predictions(R.response_weights(m, omit=True), labels, []).filter("omitted = 2").collect()
+    few = R.nested_predictions(R.response_weights(m.filter("participant <> 2")), labels, []).collect()
+    assert {(r.participant, round(r.prediction, 9)) for r in got} == {(r.participant, round(r.prediction, 9)) for r in few} and len(got) == 4
+
+
+def test_tied_ranks(spark):
+    df = spark.createDataFrame([(1, v) for v in (3.0, 1.0, 3.0, 2.0)], "k int, v double")
+    assert sorted((r.v, r.rank_v) for r in relational.ranked(df, ["k"], ["v"]).collect()) == [(1, 1), (2, 2), (3, 3.5), (3, 3.5)]
