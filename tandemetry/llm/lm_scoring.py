@@ -6,14 +6,15 @@ one state per word (the history) and an empty one; an arc for each bigram seen;
 one with weight log mu / (c(v) + mu), taken where no arc fits. A text is read once from left to right; each token adds an
 arc's weight, or a failure arc's and a unigram's, and leads to its own state.
 
-No task holds the whole model, which grows with the corpus. Documents are read in blocks, the partitions of the scan.
+No task holds the whole model, which grows with the corpus. Documents are read in blocks, ``PARTS`` to a partition of the
+scan.
 A block sends the distinct n-grams of all its texts with their training counts, packed into sorted arrays cut into
 buckets by hash range. A bucket's task adds up the counts and answers each block in the order of the block's own keys, so
 an answer is counts only. A block then holds just the states and arcs that its own texts can reach, and scores them.
 The texts themselves move once, to meet the answers. N-grams are told apart by 64-bit hashes.
 
-Hot words are one key per block. Memory per task is that of one block (spark.sql.files.maxPartitionBytes of text, some
-ten times over while its n-grams are sorted) or one bucket (as many as blocks).
+Hot words are one key per block. Memory per task is that of a partition's texts and one block (some ten times its text
+while its n-grams are sorted) or one bucket (as many as partitions).
 
 Defined results: a null or empty text is the end token alone; a null id is hashed as the empty text; repeated rows count
 and score each; extra columns are ignored; an empty table gives an empty table; with no training text at all every token
@@ -36,6 +37,7 @@ from .common import materialize, prepare
 
 FOLDS, HELD_OUT = 7, 2
 MU = 500.0
+PARTS = 3
 #: Not words, as words hold no white space.
 START, END = b"\t", b"\n"
 
@@ -125,31 +127,30 @@ _SCORED = ("held_out boolean, n_tokens long, n_known long, train_tokens long, ba
 
 def _counter(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, texts, block = [], [], 0
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            if batch.num_rows:
-                names += batch.column(0).to_pylist()
-                texts += batch.column(1).to_pylist()
-                block = batch.column(2)[0].as_py()
-        if not texts:
-            return
-        read = Block(texts)
-        del texts
-        both = read.counts(np.array([not is_held_out(n) for n in names]))
-        for kind, (keys, n) in enumerate(zip((read.word_keys, read.pair_keys), both)):
-            at = cuts(keys, buckets)
-            full = [i for i in range(buckets) if at[i] < at[i + 1]]
-            for some in (full[i : i + 64] for i in range(0, len(full), 64)):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([kind] * len(some), pa.int32()),
-                        pa.array(some, pa.int32()),
-                        pa.array([block] * len(some), pa.int32()),
-                        pa.array([pack_keys(keys[at[i] : at[i + 1]]) for i in some], pa.binary()),
-                        pa.array([pack(n[at[i] : at[i + 1]], 4) for i in some], pa.binary()),
-                    ],
-                    names=["kind", "bucket", "block", "keys", "counts"],
-                )
+            for name, text, block in zip(*(c.to_pylist() for c in batch.columns)):
+                names, texts = held.setdefault(block, ([], []))
+                names.append(name)
+                texts.append(text)
+        while held:
+            block, (names, texts) = held.popitem()
+            read = Block(texts)
+            del texts
+            both = read.counts(np.array([not is_held_out(n) for n in names]))
+            for kind, (keys, n) in enumerate(zip((read.word_keys, read.pair_keys), both)):
+                at = cuts(keys, buckets)
+                full = [i for i in range(buckets) if at[i] < at[i + 1]]
+                for some in (full[i : i + 64] for i in range(0, len(full), 64)):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array(x, pa.int32()) for x in ([kind] * len(some), some, [block] * len(some))),
+                            pa.array([pack_keys(keys[at[i] : at[i + 1]]) for i in some], pa.binary()),
+                            pa.array([pack(n[at[i] : at[i + 1]], 4) for i in some], pa.binary()),
+                        ],
+                        names=["kind", "bucket", "block", "keys", "counts"],
+                    )
+            del read, both
 
     return run
 
@@ -244,7 +245,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     if not stable:
         rows = materialize(rows, "lm-rows")
-    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "text", F.spark_partition_id().alias("block"))
+    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "text", F.spark_partition_id().alias("part"))
+    rows = rows.withColumn("block", F.col("part") * PARTS + F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int")).drop("part")
     buckets = max(8, rows.rdd.getNumPartitions())
     counted = rows.select("name", "text", "block").mapInArrow(_counter(buckets), _COUNTED)
     replies = materialize(counted.groupBy("kind", "bucket").applyInArrow(add_up, _REPLY), "lm-replies")
