@@ -10,8 +10,8 @@ shares a key at every level, so no link is lost, and at the third level the dist
 2048, as only eleven bits are free. Within a key only the links of a spanning forest leave the task, never all pairs.
 
 ``COPIES`` reaches further, to texts whose five-word shingles agree to 0.8 or more: their five-word fingerprints differ in
-some ten bits of 64, too many for two halves. It indexes a 192-bit fingerprint of the distinct words, which edits disturb
-less, by six segments of 32 bits with one blanked (so any pair within eleven bits is met, and most beyond), and verifies
+some ten bits of 64, too many for two halves. It indexes a 192-bit fingerprint of the distinct longer words, which edits
+disturb less and unrelated texts hardly share (all words where there are few longer ones), by six segments of 32 bits with one blanked (so any pair within eleven bits is met, and most beyond), and verifies
 by the five-word fingerprint, at most ``COPY_BITS`` apart. A crowded key is refined by a second segment.
 
 Copies share a fingerprint and are one node. Components come from repeated minimum and pointer jumping over tables in the
@@ -39,8 +39,12 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Fingerprints under one key that are compared in place.
-RUN = 128
+RUN = 4096
 COPY_SHINGLE, COPY_BITS = 5, 14
+#: Bytes of a telling word, and how many a text must have; shorter words are common to many texts.
+TELLING, ENOUGH = 7, 8
+#: Edges that one task contracts.
+CHUNK = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,10 +80,11 @@ def simhash_signature(words: list[bytes]) -> tuple[int, ...]:
 
 
 def copies_signature(words: list[bytes]) -> tuple[int, ...]:
-    """The five-word fingerprint and three of the distinct words, from one hash mixed three ways."""
+    """The five-word fingerprint and three of the distinct telling words, from one hash mixed three ways."""
     if not words:
         return (0, 0, 0, 0)
-    h, wide = _hashes(set(words)), []
+    telling = {w for w in words if len(w) >= TELLING}
+    h, wide = _hashes(telling if len(telling) >= ENOUGH else set(words)), []
     for way in (1, 2, 3):
         x = (h ^ np.uint64(way)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -139,18 +144,16 @@ def _third_keys(k1: Column, k2: Column, fp: Column) -> Column:
     return F.array(*[F.shiftleft(k2, 16) + _blanked(o, 8, i, b) for i, o in enumerate(octets) for b in range(8)])
 
 
-def _forest(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """The least row connected with each of n rows."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[at], root[to])
-        new = root.copy()
-        np.minimum.at(new, at, low)
-        np.minimum.at(new, to, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's component, after linking rows a with rows b. root: the same before."""
+    a, b = root[a], root[b]
+    while (apart := a != b).any():
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+        a, b = root[a], root[b]
+    return root
 
 
 def _links(longest: int | None, bits: int):
@@ -173,18 +176,20 @@ def _links(longest: int | None, bits: int):
         if longest is not None and (big := whole > longest).any():
             yield batch_of(True, k1[big], k2[big], fp[big], fp[big])
         live = np.flatnonzero((whole > 1) & ((whole <= longest) if longest is not None else True))
-        at, to, d = [], [], 1
-        while len(live):
+        root, d = np.arange(n), 1
+        while True:
             live = live[live + d < n]
             live = live[run[live] == run[live + d]]
-            near = np.bitwise_count((fp[live] ^ fp[live + d]).view(np.uint64)) <= bits
-            at.append(live[near])
-            to.append(live[near] + d)
+            if not len(live):
+                break
+            near = live[np.bitwise_count((fp[live] ^ fp[live + d]).view(np.uint64)) <= bits]
+            root = _join(root, near, near + d)
+            if d % 32 == 0:  # a key whose rows are all connected has nothing to add
+                done = np.minimum.reduceat(root, start) == np.maximum.reduceat(root, start)
+                live = live[~done[run[live]]]
             d += 1
-        at, to = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, to))
-        if len(at):
-            root = _forest(at, to, n)
-            tip = np.flatnonzero(root != np.arange(n))
+        tip = np.flatnonzero(root != np.arange(n))
+        if len(tip):
             yield batch_of(False, k1[tip], k2[tip], fp[root[tip]], fp[tip])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +234,26 @@ def _linked(rows: DataFrame, finer: list[Callable[[DataFrame], DataFrame]], bits
         edges = found if edges is None else edges.union(found)
         rest = out.filter("crowded").select("k1", "k2", F.col("a").alias("fp"))
         if last or rest.isEmpty():
-            return edges.distinct()
+            return _contracted(edges.distinct())
         rows = finer[level](rest)
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: a forest of each chunk of edges, as a pair met under many keys has many paths."""
+    edges = materialize(edges, "edges")
+    chunks = edges.count() // CHUNK + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        a, b = (np.concatenate([e[i] for e in ends] or [np.empty(0, np.int64)]) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _join(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+        tip = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root[tip]]), pa.array(nodes[tip])], names=["a", "b"])
+
+    return edges.repartition(chunks).mapInArrow(run, "a long, b long")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints fp within MAX_BITS of each other."""
     rows = fps.select("fp").distinct().select(F.explode(_first_keys(_halves(F.col("fp")))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
