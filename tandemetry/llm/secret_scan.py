@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 
 BASE = ("assign", "access", "hex")
 
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     paths = address(docs, id_col, text_col)
     blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger_path is None:
-        entries = scan_blobs(blobs, rules).filter(F.size("spans") > 0)
+        entries = materialize(scan_blobs(blobs, rules).filter(F.size("spans") > 0), "secrets")  # its own table, so the join below can be split where a blob is hot
     else:
         try:
             old = spark.read.parquet(ledger_path)
