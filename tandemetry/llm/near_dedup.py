@@ -9,10 +9,14 @@ the other half cut in two with one bit blanked, and from there to a third that a
 shares a key at every level, so no link is lost, and at the third level the distinct fingerprints under a key are at most
 2048, as only eleven bits are free. Within a key only the links of a spanning forest leave the task, never all pairs.
 
-``COPIES`` reaches further, to texts whose five-word shingles agree to 0.8 or more: their five-word fingerprints differ in
-some ten bits of 64, too many for two halves. It indexes a 192-bit fingerprint of the distinct longer words, which edits
-disturb less and unrelated texts hardly share (all words where there are few longer ones), by six segments of 32 bits with one blanked (so any pair within eleven bits is met, and most beyond), and verifies
-by the five-word fingerprint, at most ``COPY_BITS`` apart. A crowded key is refined by a second segment.
+``COPIES`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Their fingerprints
+differ in some ten bits of 64, too many for two halves, so they are met by minima instead: ``BANDS`` keys of ``ROWS``
+minima of the hashed set each. A pair at similarity s shares no key with chance (1 - s^ROWS)^BANDS, 6 in 100,000 at 0.8
+and less above, whatever the length of the texts. All nodes under a key are joined to its least one, however many they
+are; so a key has no limit, and a component of these links holds every pair met. Inside a component the sets themselves
+are compared, rarest shingles first: only pairs at 0.8 or more, by exact count, are linked. A component of more than
+``BLOCK`` nodes is dealt out as blocks of like size, each block against each that could hold a partner. Equal sets are one
+node, named by a hash of the set.
 
 Copies share a fingerprint and are one node. Components come from repeated minimum and pointer jumping over tables in the
 shared folder.
@@ -40,9 +44,11 @@ SEED = 42
 MAX_BITS = 3
 #: Fingerprints under one key that are compared in place.
 RUN = 4096
-COPY_SHINGLE, COPY_BITS = 5, 14
-#: Bytes of a telling word, and how many a text must have; shorter words are common to many texts.
-TELLING, ENOUGH = 7, 8
+COPY_SHINGLE, BANDS, ROWS = 5, 32, 6
+#: Nodes, and bytes of their sets, that a block of a component holds.
+BLOCK, BLOCK_BYTES = 1000, 1 << 24
+#: Rows of a batch of sets.
+BATCH = 500
 #: Edges that one task contracts.
 CHUNK = 200_000
 
@@ -69,34 +75,48 @@ def _hashes(parts) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64)
 
 
+def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    return _hashes([b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
-    if not words:
-        return 0
-    return majority(_hashes([b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))))
+    return majority(_shingles(words, shingle)) if words else 0
 
 
 def simhash_signature(words: list[bytes]) -> tuple[int, ...]:
     return (fingerprint(words, SHINGLE),)
 
 
-def copies_signature(words: list[bytes]) -> tuple[int, ...]:
-    """The five-word fingerprint and three of the distinct telling words, from one hash mixed three ways."""
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+_FACTOR, _SHIFT = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def minima_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its number and its ROWS minima over the set h."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 256):
+        np.minimum(low, (h[i : i + 256, None] * _FACTOR + _SHIFT).min(0), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def copies_signature(words: list[bytes]) -> tuple[int, int, np.ndarray, bytes]:
+    """A hash of the set of five-word shingles, its size, its keys, and the set as sorted 64-bit hashes."""
     if not words:
-        return (0, 0, 0, 0)
-    telling = {w for w in words if len(w) >= TELLING}
-    h, wide = _hashes(telling if len(telling) >= ENOUGH else set(words)), []
-    for way in (1, 2, 3):
-        x = (h ^ np.uint64(way)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        wide.append(majority(x ^ (x >> np.uint64(32))))
-    return (fingerprint(words, COPY_SHINGLE), *wide)
+        return 0, 0, np.empty(0, np.int64), b""
+    h = np.unique(_shingles(words, COPY_SHINGLE))
+    whole = h.tobytes()
+    return int(_hashes([whole]).view(np.int64)[0]), len(h), minima_keys(h), whole
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """columns: what ``sign`` makes of a text's words, first fp, a text's node; edges: (a, b) between the nodes of such a table."""
+    """columns: name and type of what ``sign`` makes of a text's words, first fp, a text's node; edges: (a, b) between the nodes of such a table."""
 
-    columns: tuple[str, ...]
+    columns: tuple[tuple[str, pa.DataType], ...]
     sign: Callable
     edges: Callable[[DataFrame], DataFrame]
 
@@ -105,14 +125,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> D
     """doc_id and the scheme's columns for each row."""
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    names, sign = scheme.columns, scheme.sign
+    columns, sign = scheme.columns, scheme.sign
+    names = ["doc_id", *(n for n, _ in columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sign(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], pa.int64()) for i in range(len(names)))], names=["doc_id", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                made = [sign(words_of(t)) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], t) for i, (_, t) in enumerate(columns))], names=names)
+
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{n} {_SQL[t]}" for n, t in columns)]))
 
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
+
+_SQL = {pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.binary(): "binary"}
 
 
 def _blanked(part: Column, width: int, code: int, bit: int) -> Column:
@@ -262,23 +288,96 @@ def links(fps: DataFrame) -> DataFrame:
     return _linked(rows, [second, third], MAX_BITS)
 
 
-def copy_links(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) between five-word fingerprints within COPY_BITS that share a key of their word fingerprints."""
-    distinct = materialize(signed.select("fp", "w0", "w1", "w2").distinct(), "signatures")
-    keys = _first_keys([h for w in ("w0", "w1", "w2") for h in _halves(F.col(w))])
-    rows = distinct.select(F.explode(keys).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
+def _alike(fps: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Links that connect all nodes whose sets have a similarity of 0.8 or more. Two such sets share one of the fifth of
+    their shingles that are rarest here; pairs that links connect already aren't compared."""
+    size = np.array([len(s) // 8 for s in sets])
+    _, ids, count = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)
+    ids = ids[np.lexsort((ids, count[ids], np.repeat(np.arange(len(size)), size)))]
+    ends = np.cumsum(size)
+    own = [ids[e - n : e] for e, n in zip(ends, size)]
+    marked = np.zeros(len(count), bool)
+    holders: dict[int, int] = {}  # sets of nodes are the bits of a number
+    root, members = list(range(len(size))), [1 << i for i in range(len(size))]
+    for i, mine in enumerate(own):
+        first = mine[: size[i] // 5 + 1]
+        met = 0
+        for shingle in first[count[first] > 1].tolist():
+            met |= holders.get(shingle, 0)
+            holders[shingle] = holders.get(shingle, 0) | 1 << i
+        marked[mine] = True
+        while met:
+            j = met.bit_length() - 1
+            met ^= 1 << j
+            if 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * np.count_nonzero(marked[own[j]]) >= 4 * (size[i] + size[j]):
+                yield fps[j], fps[i]
+                keep, give = sorted((root[i], root[j]), key=lambda r: -members[r].bit_count())
+                rest = members[give]
+                joined = members[keep] = members[keep] | rest
+                while rest:
+                    at = rest.bit_length() - 1
+                    root[at] = keep
+                    rest ^= 1 << at
+                met &= ~joined
+        marked[mine] = False
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group of rows (g, fp, set) sorted by g."""
+    last, fps, sets = None, [], []
+
+    def made() -> pa.RecordBatch:
+        found = list(_alike(fps, sets)) if len(fps) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for g, fp, one in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != last and fps:
+                yield made()
+                fps, sets = [], []
+            last = g
+            fps.append(fp)
+            sets.append(one)
+    if fps:
+        yield made()
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """(fp, g) for rows (root, fp, size): the groups in which a node is compared. A component that fits a block is one
+    group. Else its nodes are dealt by class of size, similar sets being of one or of neighbouring classes, and each class
+    into blocks; a group is a pair of blocks."""
+    many = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
+    whole = members.groupBy("root").agg(many().alias("blocks"))
+    fine = F.floor(F.log("size") / F.log(F.lit(1.3)))
+    dealt = members.join(whole, "root").select("root", "fp", "size", F.when(F.col("blocks") == 1, 0).otherwise(fine).cast("long").alias("class"))
+    blocks = materialize(dealt.groupBy("root", "class").agg(many().alias("blocks")), "blocks")
+    for step, name in ((0, "blocks"), (1, "above"), (-1, "below")):
+        dealt = dealt.join(blocks.select("root", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)), ["root", "class"], "left")
+    kind, block = F.col("class"), F.pmod("fp", "blocks")
+    each = lambda n, pair: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), pair)).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.concat(
+        each("blocks", lambda o: F.xxhash64("root", kind, F.least(o, block), kind, F.greatest(o, block))),
+        each("above", lambda o: F.xxhash64("root", kind, block, kind + 1, o)),
+        each("below", lambda o: F.xxhash64("root", kind - 1, o, kind, block)),
+    )
+    return dealt.select("fp", F.explode(pairs).alias("g"))
 
-    def second(rest: DataFrame) -> DataFrame:
-        """Under one of the other segments as well."""
-        own = F.shiftrightunsigned("k1", 37)
-        more = rest.select("k1", "fp").distinct().join(distinct, "fp").select("k1", F.explode(keys).alias("k2"), "fp")
-        return more.filter(F.shiftrightunsigned("k2", 37) != own).distinct()
 
-    return _linked(rows, [second], COPY_BITS)
+def copy_links(signed: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes with a similarity of 0.8 or more that share a key."""
+    prepare(signed.sparkSession)
+    rows = signed.filter("size > 0").groupBy("fp").agg(F.any_value("keys").alias("keys")).select(F.explode("keys").alias("k"), "fp")
+    least = rows.groupBy("k").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "a")
+    met = rows.join(least, "k").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
+    near = materialize(components(_contracted(met)), "near")
+    members = signed.select("fp", "size", "set").join(near, F.col("fp") == F.col("node")).groupBy("root", "fp").agg(F.any_value("size").alias("size"), F.any_value("set").alias("set"))
+    members = materialize(members, "members")
+    dealt = members.select("fp", "set").join(_groups(members.select("root", "fp", "size")), "fp").select("g", "fp", "set")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared, "a long, b long")
 
 
-SIMHASH = Scheme(("fp",), simhash_signature, links)
-COPIES = Scheme(("fp", "w0", "w1", "w2"), copies_signature, copy_links)
+SIMHASH = Scheme((("fp", pa.int64()),), simhash_signature, links)
+COPIES = Scheme((("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("set", pa.binary())), copies_signature, copy_links)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,7 +396,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SIMHASH) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component) for each row of docs."""
+    """doc_id, fingerprint (16 hex digits; the name of its node), component_id (the smallest doc_id of the component) for each row of docs."""
     signed = materialize(signatures(docs, id_col, text_col, scheme), "signed")
     least = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(scheme.edges(signed)).withColumnRenamed("node", "fp")

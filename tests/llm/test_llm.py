@@ -242,6 +242,42 @@ def test_edited_copies_are_one_group(spark):
     assert sorted(r.doc_id for r in got.collect()) == [d * 10 for d in range(8)]
 
 
+def five(text):
+    w = lowered(text).split()
+    return frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def groups_at_08(texts):
+    sets = [five(t) for t in texts]
+    return connected(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+
+
+def check_copies(spark, texts):
+    got = near_dedup.classes(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), scheme=near_dedup.COPIES).collect()
+    least = {}
+    for i, g in enumerate(groups_at_08(texts)):
+        least.setdefault(g, i)
+    assert {r.doc_id: r.component_id for r in got} == {i: least[g] for i, g in enumerate(groups_at_08(texts))}
+    return len(least)
+
+
+def edited(rng, words, places, word):
+    v = list(words)
+    for i in places:
+        v[i] = word()
+    return " ".join(v)
+
+
+def test_copies_of_long_words_are_met(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 9))
+    texts = []
+    for n in (15, 25, 40, 100) * 10:
+        w = [word() for _ in range(n)]
+        texts += [" ".join(w), edited(rng, w, rng.choice(n, max(1, n // 60), replace=False) if n > 40 else [n - 1], word)]
+    assert check_copies(spark, texts) == len(texts) // 2
+
+
 # Decontamination
 
 
