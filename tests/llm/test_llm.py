@@ -278,6 +278,17 @@ def test_copies_of_long_words_are_met(spark):
     assert check_copies(spark, texts) == len(texts) // 2
 
 
+def test_texts_that_share_half_their_shingles_stay_apart(spark):
+    rng = np.random.default_rng(22)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    texts = []
+    for n in (20, 60, 200):
+        for share in (0.5, 0.6, 0.7, 0.8, 0.85, 0.95):
+            w = [word() for _ in range(n)]
+            texts += [" ".join(w[: int(n * share)] + [word() for _ in range(n - int(n * share))]) for _ in range(6)] + [" ".join(w)]
+    assert len(texts) > check_copies(spark, texts) > len(texts) // 2
+
+
 # Decontamination
 
 
