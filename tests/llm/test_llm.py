@@ -289,6 +289,17 @@ def test_texts_that_share_half_their_shingles_stay_apart(spark):
     assert len(texts) > check_copies(spark, texts) > len(texts) // 2
 
 
+@pytest.mark.parametrize("block", [1000, 4])
+def test_a_crowded_key_loses_no_copy(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "RUN", 3)
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 9))
+    w = [word() for _ in range(120)]
+    texts = [edited(rng, w, rng.choice(120, k, replace=False), word) for k in (1, 2, 3, 4, 5) for _ in range(12)]
+    check_copies(spark, texts)
+
+
 # Decontamination
 
 
