@@ -300,6 +300,18 @@ def test_a_crowded_key_loses_no_copy(spark, block, monkeypatch):
     check_copies(spark, texts)
 
 
+@pytest.mark.parametrize("block", [1000, 4])
+def test_a_hot_template_is_compared_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(24)
+    long = ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(60)]
+    number = lambda: str(rng.integers(1000))
+    texts = []
+    for i in range(60):  # the same long words, other numbers at the end or inside, and longer and longer forms
+        texts.append(" ".join([*long[:50], *(number() for _ in range(2 + i % 9)), *long[50:], *(number() for _ in range(i // 4))]))
+    assert 1 < check_copies(spark, texts) < 60
+
+
 # Decontamination
 
 
