@@ -505,5 +505,24 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(awkward(spark)).count() == len(AWKWARD) and pii.sanitise(empty(spark)).count() == 0
 
 
+def test_an_entity_of_many_varied_contexts_is_judged(spark):
+    rng = np.random.default_rng(6)
+    known = ["".join(rng.choice(list("bcdfghklmnprst"), 7)) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(known, n))
+    rows = [(i, f"{some(4)} zorbulon bob@corp.example {some(5)}", "en", "s", 5) for i in range(3000)]
+    rows += [(5000 + i, f"quibblet {known[i]} joe@corp.example", "en", "s", 5) for i in range(8)]
+    page = known[:12]
+    for i in range(300):  # near copies of one page: a word or two of the context are others
+        v = [f"page{w}" for w in page]
+        for j in rng.choice(12, 1 + i % 2, replace=False):
+            v[j] = known[rng.integers(400)]
+        rows.append((6000 + i, f"{' '.join(v[:6])} amy@corp.example {' '.join(v[6:])}", "en", "s", 5))
+    rows += [(10_000 + i, some(8), "en", "s", 5) for i in range(6000)]
+    texts = {r[0]: r[1] for r in rows}
+    for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect():
+        want = ["zorbulon"] if r.doc_id < 5000 else ["quibblet"] if r.doc_id < 6000 else []
+        assert [texts[r.doc_id][t.start : t.end] for t in r.terms] == want, r.doc_id
+
+
 def test_overlapping_spans_are_replaced_once():
     assert pii.redact("0123456789", [(2, 5, "ip"), (4, 7, "card"), (8, 9, "gone")]) == "01[IP]79"
