@@ -42,7 +42,7 @@ class Rule:
 
 #: The production table.
 RULES = (
-    Rule("length", "n_words", low=10, high=1_000_000),
+    Rule("length", "n_words", low=10),
     Rule("word_length", "mean_word_chars", low=1.5, high=25.0),
     Rule("symbols", "symbol_ratio", high=0.1),
     Rule("stop_words", "stop_word_ratio", low=0.02, min_words=100),

@@ -78,6 +78,11 @@ def test_quality(spark):
     assert kept.columns == clashing(documents(spark)).columns and 0 < kept.count() < 200
 
 
+def test_a_very_long_clean_text_is_kept(spark):
+    got = quality_rules.judge(spark.createDataFrame([(1, " ".join(f"{w} the" for w in range(500_001)), "en", "s", 1)], SCHEMA)).first()
+    assert got.n_words > 1_000_000 and got.kept
+
+
 def test_repeated_windows_and_lines(spark):
     text = "a b c d e x a b c d e f a b c d e\nq\nq\n \nq r\nq\r"
     r = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
