@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lm_scoring, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_filter
+from ..sources.tables import fresh
 from .common import prepare, tokenizer_path
 from .oracles import ORACLES
 
@@ -63,7 +64,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+    """With a ledger of its own, so that a run looks up and records every pair of blob and rule."""
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents"), ledger_path=fresh(spark, "ledger")))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

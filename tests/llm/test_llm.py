@@ -444,6 +444,18 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
 # Sharding
 
 
+def test_the_registered_scan_keeps_a_ledger(spark, tmp_path, monkeypatch):
+    from tandemetry.llm import queries
+
+    monkeypatch.setattr(queries, "fresh", lambda _, name: str(tmp_path / name))
+    got = queries.op8_secret_scan(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, secret_scan.digests(secret_scan.scan(docs)).collect()))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert ledger.count() == docs.select("text").distinct().count() > ledger.filter(F.size("spans") > 0).count()
+    assert secret_scan.scan_blobs(secret_scan.address(docs, "doc_id", "text").select("blob", "text"), ledger=ledger).isEmpty()
+
+
 def test_shards(spark):
     docs = awkward(spark).union(documents(spark))
     got = sharding.assign(clashing(docs), bucket_rows=2).collect()
