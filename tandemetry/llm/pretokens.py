@@ -39,6 +39,12 @@ def plain_space(text: str) -> bool:
     return not ODD_SPACE.search(text)
 
 
+def added_strings(tokenizer) -> re.Pattern:
+    """Finds the strings that the tokenizer cuts out of a text before its own pattern sees the rest, in any case of letters."""
+    strings = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    return re.compile("|".join(strings) or "(?!)", re.IGNORECASE)
+
+
 def ids_as_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
     return np.array(ids, "<u4").tobytes()

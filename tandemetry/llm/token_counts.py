@@ -3,8 +3,9 @@
 Tier one is a broadcast hash table of the corpus' most frequent pre-tokens and their lengths in tokens; tier two is a
 cache in each Python worker, filled by encoding the pre-tokens that the table lacks. A pre-token here is a run of
 non-space characters with the one space before it, or a run of white space: a union of whole matches of the tokenizer's
-own split pattern, so lengths add up exactly to the length of the whole text. No pre-token is shuffled; to find the
-frequent ones each task sends a summary of at most ``slots`` entries.
+own split pattern, so the lengths of a text without special strings add up exactly. A text that holds one of the
+tokenizer's special strings is encoded whole by the library, which cuts it there first. No pre-token is shuffled; to find
+the frequent ones each task sends a summary of at most ``slots`` entries.
 
 The table decides only which tier answers, never a count. Its size is bounded by ``slots``
 whatever the corpus.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load_tokenizer, materialize, prepare
-from .pretokens import LONGEST, Runs, plain_space
+from .pretokens import LONGEST, Runs, added_strings, plain_space
 
 SLOTS = 16384
 PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -74,10 +75,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     table = spark.sparkContext.broadcast(lengths)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = table.value.get, Runs(load_tokenizer(tokenizer), len, sum)
+        library = load_tokenizer(tokenizer)
+        known, cache, special = table.value.get, Runs(library, len, sum), added_strings(library)
 
         def tokens(text: str) -> int:
-            if not plain_space(text):
+            if not plain_space(text) or special.search(text):
                 return cache.whole(text)
             n = 0
             for part in pieces(text):
