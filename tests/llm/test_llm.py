@@ -117,6 +117,14 @@ def test_runs_equal_the_library(name, of, join):
         assert got == of(tok.encode(x, add_special_tokens=False).ids)
 
 
+def test_token_counts_with_special_strings_between_blanks(spark):
+    tok, rng = load_tokenizer("byte_bpe_50k.json"), np.random.default_rng(3)
+    parts = list("abcZ09 \n\t'.,-éß中") + ["<|endoftext|>", "  ", "\n\n", " <|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["\n\n<|endoftext|>", "a\n\n<|endoftext|>b"] + ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(10_000)]
+    got = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"), 1024).collect()
+    assert [r.doc_id for r in got if r.n_tokens != len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)] == []
+
+
 def test_packing_round_trip(spark):
     tok = load_tokenizer("word_bpe_49k.json")
     for docs in (awkward(spark), documents(spark).repartition(3)):
@@ -337,10 +345,10 @@ def plain_scan(text, items):
 ITEMS = [(1, "The cat sat on the mat. The cat sat on the mat."), (10, "ONE"), (2, None), (3, "..."), (None, "but some words"), (4, "Long long long long LONG, long long long long long long"), (10, "one"), (5, "中文")]
 
 
-@pytest.mark.parametrize("max_words", [10**6, 5])
-def test_contamination(spark, max_words):
+@pytest.mark.parametrize("max_bytes", [decontaminate.MAX_BYTES, 9000])
+def test_contamination(spark, max_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.scan(clashing(awkward(spark)), items, max_words=max_words)
+    got = decontaminate.scan(clashing(awkward(spark)), items, max_bytes=max_bytes)
     want = Counter((i, *plain_scan(t, ITEMS)[:2], tuple(plain_scan(t, ITEMS)[2])) for i, t, *_ in AWKWARD)
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == want
     for r in got.filter("contaminated").collect():
@@ -358,6 +366,19 @@ def test_spans_point_into_the_original(spark):
     assert text[r.spans[0].start : r.spans[0].end] == "ALPHA -- Beta/gamma"
 
 
+def test_the_automaton_keeps_its_bound_and_is_built_once(spark):
+    rng = np.random.default_rng(11)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 20_000, 30_000))
+    windows = decontaminate.windows_of([(["a", "b"], text)])
+    auto = decontaminate.automaton(windows)
+    assert auto.get_stats()["total_size"] < len(windows.patterns) * decontaminate.WINDOW * decontaminate.WORD_BYTES
+    assert decontaminate.automaton(windows) is auto
+    items = spark.createDataFrame([("a", text), ("b", text), ("c", "w1 w2")], "item_id string, text string")
+    blocks = list(decontaminate._blocks(items, "item_id", "text", 10, 3_000_000))
+    assert len(blocks) > 5 and sum(len(b.patterns) for b in blocks) == len(windows.patterns) + 1
+    assert max(len(b.patterns) for b in blocks) * 10 * decontaminate.WORD_BYTES < 1.2 * 3_000_000 and all(len(b.names) <= 3 for b in blocks)
+
+
 # Language model
 
 
