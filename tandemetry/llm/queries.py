@@ -69,8 +69,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(_table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """Written by the operator and read back: what the files hold is what is returned."""
+    written = sharding.write_shards(_table(spark, sf_dir, "documents"), fresh(spark, "shards"))
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    grown = sharding.shard_of(F.col("doc_id"), sharding.SHARDS + 1).alias("grown_shard")
+    return written.select("doc_id", sharding.size_of(F.col("text")).alias("size"), checksum, F.lit("key").alias("law"), "shard", "slot", grown)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -477,26 +477,53 @@ def test_the_registered_scan_keeps_a_ledger(spark, tmp_path, monkeypatch):
     assert secret_scan.scan_blobs(secret_scan.address(docs, "doc_id", "text").select("blob", "text"), ledger=ledger).isEmpty()
 
 
-def test_shards(spark):
-    docs = awkward(spark).union(documents(spark))
-    got = sharding.assign(clashing(docs), bucket_rows=2).collect()
-    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in docs.select("doc_id", "text").collect())
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+def test_shards(spark, tmp_path):
+    docs = clashing(awkward(spark).union(documents(spark)))
+    got = sharding.write_shards(docs, str(tmp_path / "s"), bucket_bytes=20_000)
+    assert got.columns == [*docs.columns, "slot", "shard_"]
+    got = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter((r.doc_id, r.text, r.source) for r in docs.collect())
     slots = defaultdict(list)
     for r in got:
-        slots[r.shard].append(r.slot)
-        assert r.grown_shard in (r.shard, 40)
+        slots[r.shard_].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
-    assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
-    assert sharding.assign(empty(spark)).count() == 0
-
-
-def test_written_shards_hold_every_record(spark, tmp_path):
-    docs = documents(spark).withColumn("shard", F.lit("own"))
-    sharding.write_shards(docs, str(tmp_path / "s"), shards=5, bucket_bytes=50_000)
+    assert len({(r.doc_id, r.shard_) for r in got}) == len({r.doc_id for r in got})
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert set(back.columns) == {*docs.columns, "shard_"}
-    assert Counter(r.text for r in back.collect()) == Counter(r.text for r in docs.collect())
+    assert set(back.columns) == {*docs.columns, "slot", "shard_"} and back.count() == len(got)
+    for n in (0, 1):
+        none = sharding.write_shards(empty(spark), str(tmp_path / f"e{n}")) if n else sharding.assign(empty(spark))
+        assert none.count() == 0 and none.columns == [*empty(spark).columns, "slot", "shard"]
+    assert spark.read.parquet(str(tmp_path / "e1")).columns == [*empty(spark).columns, "slot", "shard"]
+
+
+def test_the_registered_shards_keep_their_law(spark):
+    rows = registered.op9_sharding(spark, SF).collect()
+    docs = documents(spark).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs)
+    assert all(r.grown_shard in (r.shard, 40) for r in rows) and any(r.grown_shard == 40 for r in rows)
+
+
+def test_slots_do_not_depend_on_partitions(spark):
+    def slots(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        docs = awkward(spark).union(documents(spark)).repartition(int(partitions))
+        return Counter((r.doc_id, r.text, r.shard, r.slot) for r in sharding.assign(docs, bucket_bytes=50_000).collect())
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert slots("3") == slots("7")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_third_of_equal_rows_fills_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    docs = awkward(spark).limit(1).union(spark.range(2000).select("id", F.lit("t"), F.lit("en"), F.lit("s"), F.lit(1).cast("long")))
+    docs = docs.union(spark.range(1000).select(F.lit(7).cast("long"), F.lit("same"), F.lit("en"), F.lit("s"), F.lit(1).cast("long")))
+    got = sharding.assign(docs, shards=1, bucket_bytes=500).collect()
+    at = sorted(r.slot for r in got if r.text == "same")
+    assert sorted(r.slot for r in got) == list(range(3001)) and len(at) == 1000
+    assert max(np.bincount(np.array(at) // 300)) < 200  # spread over the shard, though equal
 
 
 # Personal data
