@@ -1,8 +1,10 @@
 """Secret scans with an incremental blob ledger, with DataFrame functions only.
 
-Every version of every path is addressed by the SHA-256 of its content. Only (blob, rule version) pairs that the ledger
-lacks are scanned, each blob's text once, and the findings are joined back to all paths that hold the blob. A group of
-copies is one blob: the first map-side aggregation already folds it.
+Every version of every path is addressed by the SHA-256 of its content. The addresses alone, without texts, meet the
+ledger: only (blob, rule version) pairs that it lacks are scanned. Their texts are fetched once per blob; where nothing is
+new, no text is moved at all. The findings are joined back to all paths that hold the blob. A group of copies is one blob:
+map-side aggregation already folds it. A run that dies before the append has recorded nothing, one that dies after it
+finds its pairs done.
 
 A rule's matches are leftmost and non-overlapping. Their places come from the regular expression's matches and the gaps
 between them: a match starts where the lengths before it end. Offsets are in code points, the end exclusive.
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import fresh
 from .common import let, materialize
 
 BASE = ("assign", "access", "hex")
@@ -79,53 +82,63 @@ def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), let(found, placed)).otherwise(F.array().cast(SPAN))
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """New ledger rows (blob, scanned: rule keys, spans) for the pairs that the ledger lacks. blobs: (blob, text), one row each."""
+#: Unseen blobs up to which their list is sent to the texts (some 150 bytes each); beyond it the texts are folded first.
+FEW_BLOBS = 100_000
+
+
+def unseen(blobs: DataFrame, rules: tuple[SecretRule, ...], ledger: DataFrame | None) -> DataFrame:
+    """(blob, todo: rule keys) of the blobs with pairs that the ledger lacks. blobs: one column, repeats allowed."""
     keys = F.array(*[F.lit(r.key) for r in rules])
+    distinct = blobs.select("blob").distinct()
     if ledger is None:
-        todo = blobs.withColumn("scanned", keys)
-    else:
-        seen = ledger.select("blob", F.explode("scanned").alias("key")).groupBy("blob").agg(F.collect_set("key").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("scanned", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("scanned") > 0)
-    new = [F.when(F.array_contains("scanned", r.key), spans_of(F.col("text"), r, i)).otherwise(F.array().cast(SPAN)) for i, r in enumerate(rules)]
-    if ledger is None:
-        new = [spans_of(F.col("text"), r, i) for i, r in enumerate(rules)]
-    return todo.select("blob", "scanned", F.concat(*new).alias("spans"))
+        return distinct.withColumn("todo", keys)
+    seen = ledger.select("blob", F.explode("scanned").alias("key")).groupBy("blob").agg(F.collect_set("key").alias("seen"))
+    todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+    return distinct.join(seen, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
 
 
-def address(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob, scanned: rule keys, spans) for blobs: (blob, todo, text), one row each."""
+    none = F.array().cast(SPAN)
+    new = [F.when(F.array_contains("todo", r.key), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return blobs.select("blob", F.col("todo").alias("scanned"), F.concat(*new).alias("spans"))
+
+
+def _texts(rows: DataFrame, todo: DataFrame) -> DataFrame:
+    """(blob, todo, text), one row for each blob of todo. rows: (blob, text)."""
+    if todo.count() <= FEW_BLOBS:
+        return rows.join(F.broadcast(todo), "blob").groupBy("blob").agg(F.first("todo").alias("todo"), F.first("text").alias("text"))
+    return rows.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[SecretRule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
     """doc_id, blob, spans (sorted by start, then rule order) for each row of docs. With a ledger path, what was scanned
     before is read from there and what is new is appended, clean blobs included."""
     spark: SparkSession = docs.sparkSession
-    paths = address(docs, id_col, text_col)
-    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger_path is None:
-        entries = materialize(scan_blobs(blobs, rules).filter(F.size("spans") > 0), "secrets")  # its own table, so the join below can be split where a blob is hot
-    else:
-        try:
-            old = spark.read.parquet(ledger_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        scan_blobs(blobs, rules, old).write.mode("append").parquet(ledger_path)
-        entries = spark.read.parquet(ledger_path).filter(F.size("spans") > 0)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    paths = materialize(rows.select("doc_id", "blob"), "paths")
+    path = ledger_path or fresh(spark, "ledger")
+    try:
+        ledger = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        ledger = None
+    todo = materialize(unseen(paths, rules, ledger), "unseen")
+    if ledger is None or not todo.isEmpty():
+        scan_blobs(_texts(rows.select("blob", "text"), todo), rules).write.mode("append").parquet(path)
+    return paths.join(findings(spark.read.parquet(path), rules), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def findings(ledger: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs with findings by these rules' versions; those of other versions give way. A written table, so
+    that the join back to paths can be split where a blob is hot."""
     current = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    if ledger_path is not None:  # earlier versions' findings of a kind give way to this version's
-        kinds = F.array(*[F.lit(r.kind) for r in rules])
-        entries = entries.select("blob", F.explode("spans").alias("s"), "scanned").filter(F.array_contains(kinds, F.col("s.kind")))
-        entries = entries.withColumn("key", F.explode(F.filter("scanned", lambda k: F.substring_index(k, "@", 1) == F.col("s.kind"))))
-        entries = entries.filter(F.col("key").isin(*[r.key for r in rules]))
-        span = F.struct(F.col("s.start").alias("start"), current[F.col("s.kind")].alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"))
-        entries = entries.groupBy("blob").agg(F.collect_set(span).alias("spans"))
-    found = entries.select("blob", F.sort_array("spans").alias("spans"))
-    return paths.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    keys = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.key))])
+    spans = ledger.filter(F.size("spans") > 0).select("blob", "scanned", F.explode("spans").alias("s")).filter(F.array_contains("scanned", keys[F.col("s.kind")]))
+    span = F.struct(F.col("s.start").alias("start"), current[F.col("s.kind")].alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"))
+    return materialize(spans.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans")), "secrets")
 
 
 def digests(found: DataFrame) -> DataFrame:
