@@ -6,7 +6,9 @@ that can give the most is cut to fill the rest. Only a bounded pool of pieces wa
 input, nothing is shuffled, and a lost task is simply run again. The last pieces of a task, too few for a full sequence,
 go to sequences whose lengths are powers of two, which need no padding.
 
-Loss-bearing tokens are an example's last ones (the answer after the prompt); without a loss column all of them are.
+Loss-bearing tokens are an example's last ones (the answer after the prompt); without a loss column all of them are. Of a
+document's text of several lines the first is the prompt, as in instruction data that is kept as plain text; a text of one
+line bears loss throughout.
 
 Defined results for documents: a null or empty text is the one end id; null ids stay null; repeated rows are packed
 each; extra columns are ignored; an empty table gives no piece. Sequence ids are unique, not consecutive: the task's
@@ -149,7 +151,17 @@ def encode_document(text: str, runs: Runs) -> bytes:
     return b"".join(map(runs.__getitem__, text.split())) if plain_space(text) else runs.whole(text)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
+def prompt_length(text: str, runs: Runs) -> int:
+    """Tokens of the first line of a text of several lines."""
+    first, cut, _ = text.partition("\n")
+    return len(encode_document(first, runs)) // 4 if cut else 0
+
+
+#: For documents: a sequence of a few long ones has few segments, one of short ones is closed by the segments.
+DOCUMENTS = Limits(segments=128)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = DOCUMENTS, end_id: int = END_ID) -> DataFrame:
     """Tokenize whole texts (then the end id) and pack them. tokenizer: a file of the tokenizers library that drops white
     space. One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(docs.sparkSession)
@@ -176,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             kind = batch.column(0).type
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode_document(text or "", runs) + end
-                packer.add((at, ids), len(ids) // 4, len(ids) // 4)
+                packer.add((at, ids), len(ids) // 4, len(ids) // 4 - prompt_length(text or "", runs))
                 if len(out) >= 5000:
                     yield made(kind)
         packer.finish()
