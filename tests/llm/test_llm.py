@@ -166,6 +166,63 @@ def test_packing_keeps_all_three_limits(spark):
         assert sum(p.length for p in s) <= 512 and len(s) <= 6 and sum(p.loss for p in s) <= 200
 
 
+def plain_pack(rows, lim):
+    """Dot products over a plain list: the largest fits, else the piece that gives most is cut; a placed piece's place goes to the last."""
+    out, pool, seq = [], [], 0
+
+    def fill(most):
+        nonlocal seq
+        room, slots, loss_room, at = most, lim.segments, lim.loss, 0
+        while room and slots and pool:
+            fits = [i for i, (_, _, n, p) in enumerate(pool) if n <= room and n - p <= loss_room]
+            if fits:
+                i = max(fits, key=lambda i: (pool[i][2] / lim.tokens * room / lim.tokens + (pool[i][2] - pool[i][3]) / lim.loss * loss_room / lim.loss, -i))
+                take = pool[i][2]
+            else:
+                i = max(range(len(pool)), key=lambda i: (min(pool[i][2], room, pool[i][3] + loss_room), -i))
+                take = min(pool[i][2], room, pool[i][3] + loss_room)
+                if not take:
+                    break
+            key, start, n, p = pool[i]
+            out.append((key, start, take, seq, at))
+            at, room, slots, loss_room = at + take, room - take, slots - 1, loss_room - max(0, take - p)
+            pool[i] = (key, start + take, n - take, max(0, p - take))
+            if take == n:
+                pool[i] = pool[-1]
+                pool.pop()
+        seq += at > 0
+
+    for key, n, loss in rows:
+        pool.append((key, 0, n, n - loss))
+        if len(pool) > lim.pool:
+            while len(pool) > lim.pool // 2:
+                fill(lim.tokens)
+    while pool:
+        fill(min(lim.tokens, 1 << (sum(n for _, _, n, _ in pool).bit_length() - 1)))
+    return out
+
+
+def test_packing_chooses_by_the_dot_product():
+    rng = np.random.default_rng(8)
+    for lim in (packing.Limits(512, 6, 200, 64), packing.Limits(512, 40, 512, 32), packing.Limits(512, 9, 400, 10)):
+        rows = [(i, int(n), int(n * s)) for i, (n, s) in enumerate(zip(rng.integers(1, 500, 400), rng.random(400)))]
+        got = []
+        packer = packing.Packer(lim, lambda *p: got.append(p), 0)
+        for key, n, loss in rows:
+            packer.add(key, n, loss)
+        packer.finish()
+        assert got == plain_pack(rows, lim)
+    largest = [(i, n, n) for i, n, _ in rows]
+    assert [p[:3] for p in plain_pack(largest, lim)] != [p[:3] for p in plain_pack(rows, lim)]  # the loss decides with
+
+
+def test_a_documents_first_line_bears_no_loss():
+    tok = load_tokenizer("word_bpe_49k.json")
+    runs = pretokens.Runs(tok, pretokens.ids_as_bytes, b"".join)
+    for text, prompt in (("a question\nthe answer", "a question"), ("one line only", ""), ("\n\nx", ""), ("é\u2003b c\nd", "é\u2003b c")):
+        assert packing.prompt_length(text, runs) == len(tok.encode(prompt, add_special_tokens=False).ids)
+
+
 # Near-duplicates
 
 
@@ -462,7 +519,19 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert {(r.doc_id, str(r.spans)) for r in spans.collect()} == {(r.doc_id, str(r.spans)) for r in secret_scan.scan(more, rules=newer).collect()}
 
 
-# Sharding
+@pytest.mark.parametrize("few", [secret_scan.FEW_BLOBS, 0])
+def test_a_full_ledger_moves_no_text(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(secret_scan, "FEW_BLOBS", few)
+    ledger = str(tmp_path / "ledger")
+    assert secret_scan.scan(empty(spark), ledger_path=ledger).count() == 0
+    docs = clashing(awkward(spark).union(spark.createDataFrame([(50 + i, t, "en", "s", 1) for i, t in enumerate(SECRETS)], SCHEMA)))
+    first = Counter((r.doc_id, str(r.spans)) for r in secret_scan.scan(docs, ledger_path=ledger).collect())
+    rows = spark.read.parquet(ledger).count()
+    assert rows == len({t or "" for _, t, *_ in AWKWARD}) + len(SECRETS)
+    # as after a run that died once it had appended: nothing is left to fetch, so no text is looked up
+    monkeypatch.setattr(secret_scan, "_texts", lambda *_: pytest.fail("texts were fetched"))
+    assert Counter((r.doc_id, str(r.spans)) for r in secret_scan.scan(docs, ledger_path=ledger).collect()) == first
+    assert spark.read.parquet(ledger).count() == rows
 
 
 def test_the_registered_scan_keeps_a_ledger(spark, tmp_path, monkeypatch):
@@ -474,7 +543,10 @@ def test_the_registered_scan_keeps_a_ledger(spark, tmp_path, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, secret_scan.digests(secret_scan.scan(docs)).collect()))
     ledger = spark.read.parquet(str(tmp_path / "ledger"))
     assert ledger.count() == docs.select("text").distinct().count() > ledger.filter(F.size("spans") > 0).count()
-    assert secret_scan.scan_blobs(secret_scan.address(docs, "doc_id", "text").select("blob", "text"), ledger=ledger).isEmpty()
+    assert secret_scan.unseen(ledger.select("blob"), secret_scan.RULES, ledger).isEmpty()
+
+
+# Sharding
 
 
 def test_shards(spark, tmp_path):
