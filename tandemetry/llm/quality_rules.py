@@ -52,9 +52,10 @@ RULES = (
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in WINDOW-word windows that the text holds twice or more. A window's key is two independent hashes of its
-    words; equal windows stand side by side once sorted, and the positions of the repeated ones, sorted again, give the
-    covered words as the sum of min(WINDOW, distance to the next)."""
+    """Words in WINDOW-word windows that the text holds twice or more. Each word is hashed once; a window's key is a 64-bit
+    hash of its words' hashes. Most texts repeat no window, which a count of the distinct keys tells; in the others equal
+    windows stand side by side once sorted, and the positions of the repeated ones, sorted again, give the covered words
+    as the sum of min(WINDOW, distance to the next)."""
 
     def covered(starts: Column) -> Column:
         return F.aggregate(
@@ -63,22 +64,19 @@ def _repeat_words(words: Column) -> Column:
             lambda acc, i: acc + F.when(i == F.size(starts), F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), F.get(starts, i) - F.get(starts, i - 1))),
         )
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["x"] == b["x"]) & (a["m"] == b["m"])
-
     def repeated(keys: Column) -> Column:
-        twin = lambda k, i: F.coalesce(same(k, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(same(k, F.get(keys, i + 1)), F.lit(False))
+        twin = lambda k, i: F.coalesce(k["x"] == F.get(keys, i - 1)["x"], F.lit(False)) | F.coalesce(k["x"] == F.get(keys, i + 1)["x"], F.lit(False))
         return F.sort_array(F.transform(F.filter(keys, twin), lambda k: k["i"]))
 
-    def keys(w: Column) -> Column:
-        def key(i: Column) -> Column:
-            parts = [F.get(w, i + j) for j in range(WINDOW)]
-            return F.struct(F.xxhash64(*parts).alias("x"), F.hash(*parts).alias("m"), i.alias("i"))
+    def keys(hashed: Column) -> Column:
+        return F.transform(F.slice(hashed, 1, F.size(hashed) - WINDOW + 1), lambda h, i: F.xxhash64(h, *[F.get(hashed, i + j) for j in range(1, WINDOW)]))
 
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), key))
+    def counted(x: Column) -> Column:
+        placed = F.sort_array(F.transform(x, lambda k, i: F.struct(k.alias("x"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(let(let(placed, repeated), covered))
 
-    found = let(let(keys(words), repeated), lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(covered(s)))
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(found)
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(let(hashed, keys), counted))
 
 
 def measures(text: Column) -> Column:
