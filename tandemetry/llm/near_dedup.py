@@ -282,7 +282,10 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints fp within MAX_BITS of each other."""
-    rows = fps.select("fp").distinct().select(F.explode(_first_keys(_halves(F.col("fp")))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
+    distinct = fps.select("fp").distinct()
+    # dealt out anew: narrow rows are read in few partitions, and each makes 64
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt.select(F.explode(_first_keys(_halves(F.col("fp")))).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
     second = lambda rest: rest.select("k1", F.explode(_second_keys(F.col("k1"), F.col("fp"))).alias("k2"), "fp")
     third = lambda rest: rest.select("k1", F.explode(_third_keys(F.col("k1"), F.col("k2"), F.col("fp"))).alias("k2"), "fp")
     return _linked(rows, [second, third], MAX_BITS)
