@@ -12,11 +12,12 @@ shares a key at every level, so no link is lost, and at the third level the dist
 ``COPIES`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Their fingerprints
 differ in some ten bits of 64, too many for two halves, so they are met by minima instead: ``BANDS`` keys of ``ROWS``
 minima of the hashed set each. A pair at similarity s shares no key with chance (1 - s^ROWS)^BANDS, 6 in 100,000 at 0.8
-and less above, whatever the length of the texts. All nodes under a key are joined to its least one, however many they
-are; so a key has no limit, and a component of these links holds every pair met. Inside a component the sets themselves
-are compared, rarest shingles first: only pairs at 0.8 or more, by exact count, are linked. A component of more than
-``BLOCK`` nodes is dealt out as blocks of like size, each block against each that could hold a partner. Equal sets are one
-node, named by a hash of the set.
+and less above, whatever the length of the texts. Under a key two nodes are candidates if ``MATCHES`` of their minima, a
+byte each, agree, which a pair at 0.8 misses with chance below one in a million; a key of more than ``RUN`` nodes isn't
+filtered, all its nodes are candidates. The components of candidates hold every pair met. Only their members' texts are
+fetched, and inside a component the sets themselves are compared, rarest shingles first: only pairs at 0.8 or more, by
+exact count, are linked. A component of more than ``BLOCK`` nodes is dealt out as blocks of like size, each block against
+each that could hold a partner. Equal sets are one node, named by a hash of the set.
 
 Copies share a fingerprint and are one node. Components come from repeated minimum and pointer jumping over tables in the
 shared folder.
@@ -45,6 +46,8 @@ MAX_BITS = 3
 #: Fingerprints under one key that are compared in place.
 RUN = 4096
 COPY_SHINGLE, BANDS, ROWS = 5, 32, 6
+#: Of the BANDS * ROWS minima that candidates share; at similarity 0.8 the mean is 154 and the deviation 5.5.
+MATCHES = 125
 #: Nodes, and bytes of their sets, that a block of a component holds.
 BLOCK, BLOCK_BYTES = 1000, 1 << 24
 #: Rows of a batch of sets.
@@ -91,11 +94,16 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.ui
 _FACTOR, _SHIFT = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
-def minima_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its number and its ROWS minima over the set h."""
+def minima(h: np.ndarray) -> np.ndarray:
+    """The BANDS * ROWS minima over the set h."""
     low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for i in range(0, len(h), 256):
         np.minimum(low, (h[i : i + 256, None] * _FACTOR + _SHIFT).min(0), out=low)
+    return low
+
+
+def minima_keys(low: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its number and its minima."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -103,22 +111,29 @@ def minima_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def shingle_set(words: list[bytes]) -> tuple[int, np.ndarray]:
+    """A hash of the set of five-word shingles, and the set as sorted 64-bit hashes."""
+    h = np.unique(_shingles(words, COPY_SHINGLE))
+    return int(_hashes([h.tobytes()]).view(np.int64)[0]), h
+
+
 def copies_signature(words: list[bytes]) -> tuple[int, int, np.ndarray, bytes]:
-    """A hash of the set of five-word shingles, its size, its keys, and the set as sorted 64-bit hashes."""
+    """A hash of the set of five-word shingles, its size, its keys, and the low bytes of its minima."""
     if not words:
         return 0, 0, np.empty(0, np.int64), b""
-    h = np.unique(_shingles(words, COPY_SHINGLE))
-    whole = h.tobytes()
-    return int(_hashes([whole]).view(np.int64)[0]), len(h), minima_keys(h), whole
+    name, h = shingle_set(words)
+    low = minima(h)
+    return name, len(h), minima_keys(low), low.astype("<u8").view(np.uint8)[::8].tobytes()
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """columns: name and type of what ``sign`` makes of a text's words, first fp, a text's node; edges: (a, b) between the nodes of such a table."""
+    """columns: name and type of what ``sign`` makes of a text's words, first fp, a text's node; edges: (a, b) between the
+    nodes, from such a table, docs and the names of its id and text."""
 
     columns: tuple[tuple[str, pa.DataType], ...]
     sign: Callable
-    edges: Callable[[DataFrame], DataFrame]
+    edges: Callable[[DataFrame, DataFrame, str, str], DataFrame]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
@@ -280,7 +295,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.repartition(chunks).mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, *_) -> DataFrame:
     """Edges (a, b) that connect all fingerprints fp within MAX_BITS of each other."""
     distinct = fps.select("fp").distinct()
     # dealt out anew: narrow rows are read in few partitions, and each makes 64
@@ -346,7 +361,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """(fp, g) for rows (root, fp, size): the groups in which a node is compared. A component that fits a block is one
+    """(fp, groups) for rows (root, fp, size): the groups in which a node is compared. A component that fits a block is one
     group. Else its nodes are dealt by class of size, similar sets being of one or of neighbouring classes, and each class
     into blocks; a group is a pair of blocks."""
     many = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
@@ -363,24 +378,81 @@ def _groups(members: DataFrame) -> DataFrame:
         each("above", lambda o: F.xxhash64("root", kind, block, kind + 1, o)),
         each("below", lambda o: F.xxhash64("root", kind - 1, o, kind, block)),
     )
-    return dealt.select("fp", F.explode(pairs).alias("g"))
+    return dealt.select("fp", pairs.alias("groups"))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of each key's candidates, from rows (k, fp, sketch) sorted by k; a key has at most RUN rows."""
+    last, fps, sketches, out = None, [], [], []
+
+    def compare() -> None:
+        rows, root = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(fps), -1), np.arange(len(fps))
+        for i in range(len(fps) - 1):
+            rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            near = rest[np.count_nonzero(rows[rest] == rows[i], axis=1) >= MATCHES]
+            if len(near):
+                out.extend((fps[i], fps[j]) for j in near.tolist())
+                root[np.isin(root, root[near])] = root[i]
+            if (root == root[0]).all():
+                break
+
+    def made() -> pa.RecordBatch:
+        rows = [pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(rows, names=["a", "b"])
+
+    for batch in batches:
+        for k, fp, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != last:
+                if len(fps) > 1:
+                    compare()
+                last, fps, sketches = k, [], []
+            fps.append(fp)
+            sketches.append(sketch)
+        yield made()
+    if len(fps) > 1:
+        compare()
+    yield made()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, groups, set) of the rows (fp, groups, text) whose text is the node's: an id may stand in rows of several texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            made = [shingle_set(w) if (w := words_of(t)) else (0, np.empty(0, np.uint64)) for t in batch.column(2).to_pylist()]
+            own = pa.array([m[0] == fp for m, fp in zip(made, batch.column(0).to_pylist())], pa.bool_())
+            sets = pa.array([m[1].tobytes() for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["fp", "groups", "set"]).filter(own)
 
 
-def copy_links(signed: DataFrame) -> DataFrame:
+def copy_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) that connect the nodes with a similarity of 0.8 or more that share a key."""
     prepare(signed.sparkSession)
-    rows = signed.filter("size > 0").groupBy("fp").agg(F.any_value("keys").alias("keys")).select(F.explode("keys").alias("k"), "fp")
-    least = rows.groupBy("k").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "a")
-    met = rows.join(least, "k").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
-    near = materialize(components(_contracted(met)), "near")
-    members = signed.select("fp", "size", "set").join(near, F.col("fp") == F.col("node")).groupBy("root", "fp").agg(F.any_value("size").alias("size"), F.any_value("set").alias("set"))
-    members = materialize(members, "members")
-    dealt = members.select("fp", "set").join(_groups(members.select("root", "fp", "size")), "fp").select("g", "fp", "set")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared, "a long, b long")
+    nodes = signed.filter("size > 0").groupBy("fp").agg(F.any_value("keys").alias("keys"))
+    rows = nodes.select(F.explode("keys").alias("k"), "fp")
+    shared = rows.groupBy("k").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(rows.join(shared, "k").select("k", "a", "n", "fp"), "met")
+    crowded = met.filter((F.col("n") > RUN) & (F.col("fp") != F.col("a"))).select("a", F.col("fp").alias("b"))
+    sketches = signed.filter("size > 0").groupBy("fp").agg(F.any_value("sketch").alias("sketch"))
+    few = met.filter(F.col("n") <= RUN).select("k", "fp").join(sketches, "fp").select("k", "fp", "sketch")
+    found = few.repartition("k").sortWithinPartitions("k").mapInArrow(_candidates, "a long, b long")
+    near = materialize(components(_contracted(found.union(crowded).distinct())), "near")
+    rows = signed.select("doc_id", "fp", "size").join(near, F.col("fp") == F.col("node")).groupBy("root", "fp", "size", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    members = materialize(rows.groupBy("root", "fp", "size").agg(F.min_by("doc_id", "doc_id").alias("member"), F.max("rows").alias("rows")), "members")
+    wanted = members.select("fp", "member").join(_groups(members.select("root", "fp", "size")), "fp")
+    texts = docs.select(docs[id_col].alias("row_id"), docs[text_col].alias("text"))
+    # a merge join at every size: the members' texts are a share of all texts, so their list grows with the input
+    fetched = texts.join(wanted.hint("merge"), F.col("row_id").eqNullSafe(F.col("member"))).select("fp", "groups", "text")
+    sets = fetched.mapInArrow(_sets, "fp long, groups array<long>, set binary")
+    if not members.filter("rows > 1 or member is null").isEmpty():
+        sets = sets.groupBy("fp").agg(F.any_value("groups").alias("groups"), F.any_value("set").alias("set"))
+    dealt = sets.select(F.explode("groups").alias("g"), "fp", "set")
+    return materialize(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared, "a long, b long"), "copies")
 
 
 SIMHASH = Scheme((("fp", pa.int64()),), simhash_signature, links)
-COPIES = Scheme((("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("set", pa.binary())), copies_signature, copy_links)
+COPIES = Scheme((("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())), copies_signature, copy_links)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -402,7 +474,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sch
     """doc_id, fingerprint (16 hex digits; the name of its node), component_id (the smallest doc_id of the component) for each row of docs."""
     signed = materialize(signatures(docs, id_col, text_col, scheme), "signed")
     least = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(scheme.edges(signed)).withColumnRenamed("node", "fp")
+    roots = components(scheme.edges(signed, docs, id_col, text_col)).withColumnRenamed("node", "fp")
     named = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
@@ -413,7 +485,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The row of docs with the smallest id of each component, whole. Rows that share that id (repeats) give the least one;
     a component of null ids gives its least row. Texts are moved only for such ties, else a narrow list of ids decides."""
     fps = materialize(signatures(docs, id_col, text_col, scheme), "signed")
-    roots = components(scheme.edges(fps))
+    roots = components(scheme.edges(fps, docs, id_col, text_col))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
     counted = named.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     least = counted.groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "rows"))).alias("first"))
@@ -425,7 +497,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tied_ids = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) | F.col("doc_id").isNull())
     alone = once.join(tied_ids, F.col("kept_id") == F.col("doc_id"), "left_anti")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), docs[id_col].alias("row_id"), docs[text_col].alias("row_text"))
-    simple = rows.join(alone, F.col("row_id") == F.col("kept_id"), "left_semi").select("r.*")
+    simple = rows.join(alone.hint("merge"), F.col("row_id") == F.col("kept_id"), "left_semi").select("r.*")
     if tied_ids.isEmpty():
         return simple
     unclear = rows.join(tied_ids, F.col("row_id").eqNullSafe(F.col("doc_id")), "left_semi")
