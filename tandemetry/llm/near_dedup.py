@@ -457,6 +457,7 @@ COPIES = Scheme((("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is one node of its component, the same for all."""
+    edges = materialize(edges, "edges")  # read in both directions, so both must see the same forest
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
     now = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "roots")
     while True:
