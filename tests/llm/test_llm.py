@@ -439,30 +439,34 @@ def test_the_automaton_keeps_its_bound_and_is_built_once(spark):
 # Language model
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("rows_log2,fan", [(12, 128), (2, 4)])
+def test_scores(spark, rows_log2, fan):
     docs = awkward(spark).union(documents(spark).limit(40))
     rows = docs.select("doc_id", "text").collect()
     toks = [words(lowered(r.text)) for r in rows]
     held = [zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 == 2 for r in rows]
-    uni, bi, n_docs = Counter(), Counter(), 0
+    uni, bi, tri, n_docs = Counter(), Counter(), Counter(), 0
     for w, h in zip(toks, held):
         if not h:
             seq = ["<s>", *w, "</s>"]
             uni.update(seq[1:])
             bi.update(zip(seq, seq[1:]))
+            tri.update(zip(seq, seq[1:], seq[2:]))
             n_docs += 1
-    N, V, mu = sum(uni.values()), len(uni), lm_scoring.MU
+    N, V, (mu, mu3) = sum(uni.values()), len(uni), lm_scoring.MU
     once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
     d = min(0.95, max(0.05, once / (once + 2 * twice)))
     p = lambda w: (uni[w] - d) / N if uni[w] else d * V / N
     assert sum(map(p, uni)) + p("never seen") == pytest.approx(1)
+    p2 = lambda a, b: (bi[a, b] + mu * p(b)) / ((n_docs if a == "<s>" else uni[a]) + mu)
+    p3 = lambda a, b, c: (tri[a, b, c] + mu3 * p2(b, c)) / (bi[a, b] + mu3)
     want = []
     for r, w, h in zip(rows, toks, held):
         seq = ["<s>", *w, "</s>"]
         base = sum(math.log10((uni[x] + 1) / (N + V + 1)) for x in seq[1:])
-        model = sum(math.log10((bi[a, b] + mu * p(b)) / ((n_docs if a == "<s>" else uni[a]) + mu)) for a, b in zip(seq, seq[1:]))
+        model = math.log10(p2(*seq[:2])) + sum(math.log10(p3(*x)) for x in zip(seq, seq[1:], seq[2:]))
         want.append((r.doc_id, h, len(w) + 1, sum(uni[x] > 0 for x in seq[1:]), N, round(base, 5), round(model, 5)))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm_scoring.score(clashing(docs)).collect()]
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in lm_scoring.score(clashing(docs), rows_log2=rows_log2, fan=fan).collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[2:])
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-7)
