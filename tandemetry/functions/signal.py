@@ -57,7 +57,7 @@ def lowpass(v: Column, cutoff: float, rate: float) -> Column:
 
 def spectral_arc_length(v: Column, rate: float, least: float = 0.05, highest: float = 20.0) -> Column:
     """Minus the length of the normalised spectrum's curve up to the last bin of at least ``least``, no padding; null for
-    fewer than four samples or none above 1e-12."""
+    fewer than four finite samples or none beyond 1e-12 on either side."""
 
     def of(s: Column) -> Column:
         n = F.size(s)
@@ -82,5 +82,5 @@ def spectral_arc_length(v: Column, rate: float, least: float = 0.05, highest: fl
 
         return _let(raw, length)
 
-    clean = F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x))
-    return F.when((F.size(clean) < 4) | (F.array_max(clean) <= 1e-12), F.lit(None).cast("double")).otherwise(_let(clean, of))
+    clean = F.filter(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return F.when((F.size(clean) < 4) | (F.array_max(F.transform(clean, F.abs)) <= 1e-12), F.lit(None).cast("double")).otherwise(_let(clean, of))

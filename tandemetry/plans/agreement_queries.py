@@ -87,7 +87,7 @@ def proportional_bias_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("feature", "n", r6("prop_slope").alias("prop_slope"), r6("prop_p").alias("prop_p"))
 
 
-REPS = 100
+REPS = 2000
 CI = ("icc_a1", "icc_c1", "ccc", "mae", "rmse", "bias", "prop_slope")
 
 

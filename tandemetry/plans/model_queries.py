@@ -117,14 +117,14 @@ def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("participant", r6("truth").alias("truth"), r6("prediction").alias("prediction"), "alpha")
 
 
-PERMUTATIONS = 20
+PERMUTATIONS = 200
 
 
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation under labels dealt anew, the observed one as replicate 0, and p = (1 + #) / (R + 1)."""
     weights = tables.written(R.response_weights(_matrix(spark, sf_dir)), "weights")
     y = _labels(spark, sf_dir)
-    draw = F.pmod(F.col("participant") * 7919 + F.col("rep") * 104729 + F.col("participant") * F.col("rep") * 31, F.lit(1009))
+    draw = F.xxhash64(F.lit(20260815), "rep", "participant")
     many = R.permuted(y, PERMUTATIONS, draw).unionByName(y.select(F.lit(0).alias("rep"), "participant", "label"))
     pred = R.nested_predictions(weights, many, ["rep"])
     rho = R.rank_metrics(pred.select("rep", "participant", "truth", "prediction"), ["rep"], EDGES).select("rep", "spearman")
@@ -141,7 +141,7 @@ def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("omitted", "n", *(r6(c).alias(c) for c in ("spearman", "kendall", "mae", "rmse", "kappa")))
 
 
-SPLITS = 5
+SPLITS = 200
 
 
 def _drawn(rows: DataFrame) -> DataFrame:

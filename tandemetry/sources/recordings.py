@@ -75,7 +75,7 @@ def marker_header(texts: DataFrame) -> DataFrame:
     lines = texts.select("stem", F.split("content", "\r?\n").alias("l"))
     value = lambda key: F.get(F.split(F.get(F.filter(F.slice("l", 1, 10), lambda x: x.startswith(key + "\t")), F.lit(0)), "\t"), F.lit(1))
     names = F.get(F.filter(F.slice("l", 1, 10), lambda x: x.startswith("MARKER_NAMES\t")), F.lit(0))
-    return lines.select("stem", value("NO_OF_FRAMES").cast("int").alias("n_frames"), value("NO_OF_MARKERS").cast("int").alias("n_markers"), value("FREQUENCY").cast("double").alias("frequency"), F.filter(F.slice(F.split(names, "\t"), 2, 1000), lambda x: x != "").alias("marker_names"))
+    return lines.select("stem", value("NO_OF_FRAMES").cast("int").alias("n_frames"), value("NO_OF_MARKERS").cast("int").alias("n_markers"), value("FREQUENCY").cast("double").alias("frequency"), F.filter(F.slice(F.split(names, "\t"), 2, F.greatest(F.size(F.split(names, "\t")), F.lit(0))), lambda x: x != "").alias("marker_names"))
 
 
 def marker_frames(texts: DataFrame) -> DataFrame:
