@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..functions.signal import biquads, lowpass, spectral_arc_length
 from ..operators import geometry as G
+from ..operators.conditions import feature_table
 from ..operators.timeseries import interpolate
 from .views import RATE, pose, wave
 
@@ -67,6 +68,12 @@ def jump_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "steps", r6("rate").alias("rate"))
 
 
+def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen features of every trajectory under every preprocessing condition, with the quality of its samples."""
+    out = feature_table(pose(spark, sf_dir))
+    return out.select("label", "condition", *(r6(c).alias(c) for c in out.columns if c not in ("label", "condition")))
+
+
 POINTS = 100
 
 
@@ -176,4 +183,4 @@ SQL = {
  c AS (SELECT vec_id, greatest(1, coalesce(max(k) FILTER (h >= 0.05 AND k * 30.0 / n <= 20), 1)) AS c FROM h GROUP BY 1), l AS (SELECT vec_id, k, h - lag(h) OVER (PARTITION BY vec_id ORDER BY k) AS g FROM h)
  SELECT vec_id, {_R('-sum(sqrt(1.0::DOUBLE / (c * c) + g * g))', 'sparc')} FROM l JOIN c USING (vec_id) WHERE k BETWEEN 1 AND c GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (joint_mapping, body_frame, scale_table, angles_features, symmetry_feature, pelvis_features, velocity_features, jump_outliers, joint_error, lowpass_zero_phase, sparc)}
+QUERIES = {f.__name__: f for f in (joint_mapping, body_frame, scale_table, angles_features, symmetry_feature, pelvis_features, velocity_features, jump_outliers, feature_cache, joint_error, lowpass_zero_phase, sparc)}
