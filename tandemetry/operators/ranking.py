@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import ranked
@@ -58,13 +58,21 @@ def holm(p: DataFrame, name: str, value: str) -> DataFrame:
     return p.withColumn("_raw", raw).withColumn("p_holm", F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
 
 
+def all_weights(train: np.ndarray, test: np.ndarray, alphas: tuple[float, ...]) -> np.ndarray:
+    """(alpha, row): h with prediction h . y, of the standardised ridge with intercept. Columns are scaled once for all
+    alphas; the intercept is the mean label: h is the ridge's share of each row plus an equal share of what is left of one."""
+    spread = train.std(0)
+    scaled = np.vstack([train, test]) - train.mean(0)
+    scaled /= np.where(spread > 0, spread, 1.0)
+    gram = scaled[:-1] @ scaled.T  # the last column belongs to the test
+    penalty = np.multiply.outer(np.array(alphas), np.eye(len(train)))
+    h = np.linalg.solve(gram[:, :-1] + penalty, np.broadcast_to(gram[:, -1:], (len(alphas), len(train), 1)))[..., 0]
+    return h + (1 - h.sum(1, keepdims=True)) / len(train)
+
+
 def dual_weights(train: np.ndarray, test: np.ndarray, alpha: float) -> np.ndarray:
-    """h with prediction h . y: standardised ridge with intercept, solved in the number of rows."""
-    mean, sd = train.mean(0), train.std(0)
-    sd = np.where(sd == 0, 1.0, sd)
-    z, q = (train - mean) / sd, (test - mean) / sd
-    h = np.linalg.solve(z @ z.T + alpha * np.eye(len(z)), z @ q)
-    return h + (1 - h.sum()) / len(z)
+    """The weights for one alpha."""
+    return all_weights(train, test, (alpha,))[0]
 
 
 def response_weights(matrix: DataFrame, alphas: tuple[float, ...] = ALPHAS, omit: bool = False) -> DataFrame:
@@ -85,8 +93,7 @@ def response_weights(matrix: DataFrame, alphas: tuple[float, ...] = ALPHAS, omit
         out = []
         for held in who:
             keep = (who != outer) & (who != held)
-            for a in alphas:
-                h = dual_weights(x[keep], x[who == held][0], a)
+            for a, h in zip(alphas, all_weights(x[keep], x[who == held][0], alphas)):
                 out += [(gone, outer, a, held, p, w) for p, w in zip(who[keep], h)]
         return pd.DataFrame(out, columns=["omitted", "outer", "alpha", "held", "participant", "w"]).astype({"omitted": "Int32"})
 
@@ -109,12 +116,62 @@ def nested_predictions(weights: DataFrame, labels: DataFrame, keys: list[str]) -
     return final.join(best, on).select(*keys, "omitted", F.col("outer").alias("participant"), "truth", "prediction", "alpha")
 
 
-def permuted(labels: DataFrame, reps: int, draw: Column) -> DataFrame:
-    """(rep, participant, label): labels dealt anew per replicate in the order of ``draw`` (of rep and participant)."""
-    many = labels.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    by = Window.partitionBy("rep")
-    to = many.select("rep", "participant", F.row_number().over(by.orderBy("participant")).alias("k"))
-    source = many.select("rep", "label", F.row_number().over(by.orderBy(draw, "participant")).alias("k"))
-    return to.join(source, ["rep", "k"]).select("rep", "participant", "label")
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key in as many partitions as a shuffle has: their bytes are few and their work isn't, so they aren't merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def fold_weights(x: np.ndarray, outer: int, alphas: tuple[float, ...] = ALPHAS) -> np.ndarray:
+    """(alpha, held, participant): the weight of each label in the prediction of ``held`` by a fit without it and ``outer``."""
+    size = len(x)
+    w = np.zeros((len(alphas), size, size))
+    for held in range(size):
+        keep = np.setdiff1d(np.arange(size), [outer, held])
+        w[:, held, keep] = all_weights(x[keep], x[held], alphas)
+    return w
+
+
+def _chosen(w: np.ndarray, y: np.ndarray, outer: int, alphas: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of ``outer`` and alphas per column of y: the least mean absolute error inside the fold, the first of ties."""
+    p = w @ y
+    inner = np.arange(len(y)) != outer
+    best = np.abs(p[:, inner] - y[inner]).mean(1).argmin(0)
+    return p[best, outer, np.arange(y.shape[1])], np.array(alphas)[best]
+
+
+def permuted_predictions(matrix: DataFrame, labels: DataFrame, reps: int, seed: int, chunk: int = 1000) -> DataFrame:
+    """(rep, participant, truth, prediction, alpha) of the nested ridge under labels dealt anew; rep 0 has them as they are.
+    An outer fold is a group: its weights don't depend on the labels, so all replicates are products with them, in chunks.
+    A replicate's order is drawn from its own seed, the same in every group."""
+    rows = matrix.join(labels, "participant").select("participant", "x", "label")
+    folds = rows.select(F.col("participant").alias("outer"))
+    many = folds.join(rows, F.col("outer") != F.col("participant")).unionByName(rows.withColumn("outer", F.col("participant")))
 
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("participant")
+        who, y = group["participant"].to_numpy(), group["label"].to_numpy(float)
+        outer = int(np.flatnonzero(who == group["outer"].iloc[0])[0])
+        w, parts = fold_weights(np.stack(group["x"].to_numpy()), outer), []
+        for first in range(0, reps + 1, chunk):
+            some = range(first, min(first + chunk, reps + 1))
+            dealt = np.stack([y[np.random.default_rng((seed, r)).permutation(len(y))] if r else y for r in some], 1)
+            prediction, alpha = _chosen(w, dealt, outer, ALPHAS)
+            parts.append(pd.DataFrame({"rep": list(some), "participant": who[outer], "truth": dealt[outer], "prediction": prediction, "alpha": alpha}))
+        return pd.concat(parts)
+
+    return _dealt(many, "outer").groupBy("outer").applyInPandas(solve, "rep int, participant int, truth double, prediction double, alpha double")
+
+
+def replicate_predictions(matrices: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, participant, truth, prediction, alpha) of the nested ridge on each replicate's own matrix. matrices: (rep,
+    participant, x). A replicate is a group of one row per participant; one of fewer than four participants has no rows."""
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("participant")
+        x, y, out = np.stack(group["x"].to_numpy()), group["label"].to_numpy(float)[:, None], []
+        for outer in range(len(x) if len(x) > 3 else 0):
+            prediction, alpha = _chosen(fold_weights(x, outer), y, outer, ALPHAS)
+            out.append((group["rep"].iloc[0], group["participant"].iloc[outer], y[outer, 0], prediction[0], alpha[0]))
+        return pd.DataFrame(out, columns=["rep", "participant", "truth", "prediction", "alpha"])
 
+    return _dealt(matrices.join(labels, "participant"), "rep").groupBy("rep").applyInPandas(solve, "rep int, participant int, truth double, prediction double, alpha double")

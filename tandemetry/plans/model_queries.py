@@ -10,6 +10,7 @@ from ..operators import agreement as A
 from ..operators import calibration as C
 from ..operators import gates, models
 from ..operators import ranking as R
+from ..operators.relational import ranked
 from ..operators.resampling import sample_without_replacement
 from ..sources import tables
 from ..streaming.windows import event_windows
@@ -117,17 +118,14 @@ def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("participant", r6("truth").alias("truth"), r6("prediction").alias("prediction"), "alpha")
 
 
-PERMUTATIONS = 200
+PERMUTATIONS = 10_000
 
 
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation under labels dealt anew, the observed one as replicate 0, and p = (1 + #) / (R + 1)."""
-    weights = tables.written(R.response_weights(_matrix(spark, sf_dir)), "weights")
-    y = _labels(spark, sf_dir)
-    draw = F.xxhash64(F.lit(20260815), "rep", "participant")
-    many = R.permuted(y, PERMUTATIONS, draw).unionByName(y.select(F.lit(0).alias("rep"), "participant", "label"))
-    pred = R.nested_predictions(weights, many, ["rep"])
-    rho = R.rank_metrics(pred.select("rep", "participant", "truth", "prediction"), ["rep"], EDGES).select("rep", "spearman")
+    pred = R.permuted_predictions(_matrix(spark, sf_dir), _labels(spark, sf_dir), PERMUTATIONS, 20260815)
+    ranks = ranked(pred.select("rep", "truth", "prediction"), ["rep"], ["truth", "prediction"])
+    rho = tables.written(ranks.groupBy("rep").agg(F.corr("rank_truth", "rank_prediction").alias("spearman")), "null")
     seen = rho.filter(F.col("rep") == 0).select(F.abs("spearman").alias("observed"))
     p = rho.filter(F.col("rep") > 0).join(F.broadcast(seen), F.abs("spearman") >= F.col("observed"), "left").agg(((1.0 + F.count("observed")) / (1.0 + F.count(F.lit(1)))).alias("p"))
     return rho.join(F.broadcast(p), F.col("rep") >= 0).select("rep", r6("spearman").alias("rho"), r6("p").alias("p"))
