@@ -16,8 +16,11 @@ and less above, whatever the length of the texts. Under a key two nodes are cand
 byte each, agree, which a pair at 0.8 misses with chance below one in a million; a key of more than ``RUN`` nodes isn't
 filtered, all its nodes are candidates. The components of candidates hold every pair met. Only their members' texts are
 fetched, and inside a component the sets themselves are compared, rarest shingles first: only pairs at 0.8 or more, by
-exact count, are linked. A component of more than ``BLOCK`` nodes is dealt out as blocks of like size, each block against
-each that could hold a partner. Equal sets are one node, named by a hash of the set.
+exact count, are linked. A component of more than ``BLOCK`` nodes is dealt out to blocks twice, by two hashes, and compared
+inside them, which is linear in the nodes and connects nearly all of a hot template. What is left open is compared block
+against block, each with each that could hold a partner and isn't connected with it already, so no link is lost; the
+groups grow with the component only if a few of its nodes are left, and with the square where it falls into many clusters.
+Equal sets are one node, named by a hash of the set.
 
 Copies share a fingerprint and are one node. Components come from repeated minimum and pointer jumping over tables in the
 shared folder.
@@ -306,9 +309,9 @@ def links(fps: DataFrame, *_) -> DataFrame:
     return _linked(rows, [second, third], MAX_BITS)
 
 
-def _alike(fps: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
+def _alike(fps: list[int], known: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
     """Links that connect all nodes whose sets have a similarity of 0.8 or more. Two such sets share one of the fifth of
-    their shingles that are rarest here; pairs that links connect already aren't compared."""
+    their shingles that are rarest here; pairs that links connect already, or that are known as one, aren't compared."""
     size = np.array([len(s) // 8 for s in sets])
     _, ids, count = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)
     ids = ids[np.lexsort((ids, count[ids], np.repeat(np.arange(len(size)), size)))]
@@ -316,13 +319,17 @@ def _alike(fps: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
     own = [ids[e - n : e] for e, n in zip(ends, size)]
     marked = np.zeros(len(count), bool)
     holders: dict[int, int] = {}  # sets of nodes are the bits of a number
-    root, members = list(range(len(size))), [1 << i for i in range(len(size))]
+    place: dict[int, int] = {}
+    root, members = [place.setdefault(k, i) for i, k in enumerate(known)], [0] * len(size)
+    for i, r in enumerate(root):
+        members[r] |= 1 << i
     for i, mine in enumerate(own):
         first = mine[: size[i] // 5 + 1]
         met = 0
         for shingle in first[count[first] > 1].tolist():
             met |= holders.get(shingle, 0)
             holders[shingle] = holders.get(shingle, 0) | 1 << i
+        met &= ~members[root[i]]
         marked[mine] = True
         while met:
             j = met.bit_length() - 1
@@ -341,44 +348,57 @@ def _alike(fps: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group of rows (g, fp, set) sorted by g."""
-    last, fps, sets = None, [], []
+    """Links of each group of rows (g, fp, known, set) sorted by g."""
+    last, fps, names, sets = None, [], [], []
 
     def made() -> pa.RecordBatch:
-        found = list(_alike(fps, sets)) if len(fps) > 1 else []
+        found = list(_alike(fps, names, sets)) if len(fps) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for g, fp, one in zip(*(c.to_pylist() for c in batch.columns)):
+        for g, fp, name, one in zip(*(c.to_pylist() for c in batch.columns)):
             if g != last and fps:
                 yield made()
-                fps, sets = [], []
+                fps, names, sets = [], [], []
             last = g
             fps.append(fp)
+            names.append(name)
             sets.append(one)
     if fps:
         yield made()
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """(fp, groups) for rows (root, fp, size): the groups in which a node is compared. A component that fits a block is one
-    group. Else its nodes are dealt by class of size, similar sets being of one or of neighbouring classes, and each class
-    into blocks; a group is a pair of blocks."""
-    many = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
-    whole = members.groupBy("root").agg(many().alias("blocks"))
-    fine = F.floor(F.log("size") / F.log(F.lit(1.3)))
-    dealt = members.join(whole, "root").select("root", "fp", "size", F.when(F.col("blocks") == 1, 0).otherwise(fine).cast("long").alias("class"))
-    blocks = materialize(dealt.groupBy("root", "class").agg(many().alias("blocks")), "blocks")
-    for step, name in ((0, "blocks"), (1, "above"), (-1, "below")):
-        dealt = dealt.join(blocks.select("root", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)), ["root", "class"], "left")
-    kind, block = F.col("class"), F.pmod("fp", "blocks")
-    each = lambda n, pair: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), pair)).otherwise(F.array().cast("array<bigint>"))
-    pairs = F.concat(
-        each("blocks", lambda o: F.xxhash64("root", kind, F.least(o, block), kind, F.greatest(o, block))),
-        each("above", lambda o: F.xxhash64("root", kind, block, kind + 1, o)),
-        each("below", lambda o: F.xxhash64("root", kind - 1, o, kind, block)),
-    )
-    return dealt.select("fp", pairs.alias("groups"))
+def _many() -> Column:
+    """The blocks that rows with a size need, in nodes and in bytes."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
+
+
+def _compare(rows: DataFrame) -> DataFrame:
+    """Links of each group g of rows (g, fp, known, set)."""
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compared, "a long, b long")
+
+
+def _across(big: DataFrame, links: DataFrame) -> DataFrame:
+    """The links that ``links`` leaves open among rows (root, fp, size, set) of components of several blocks. A cluster that
+    ``links`` connects and that fills a block has blocks of its own, which aren't compared with each other; all other nodes
+    share blocks. Blocks go by class of size, similar sets being of one or of neighbouring classes; a group is a pair of blocks."""
+    inside = links.join(big.select(F.col("fp").alias("a")), "a", "left_semi")
+    clusters = components(_contracted(inside)).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
+    fine = F.floor(F.log("size") / F.log(F.lit(1.3))).cast("long")
+    nodes = big.select("root", "fp", "size", fine.alias("class")).join(clusters, "fp", "left").withColumn("known", F.coalesce("cluster", "fp"))
+    large = nodes.groupBy("known").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= BLOCK).select("known", F.col("known").alias("own"))
+    kind = [F.col("own").isNotNull().alias("pure"), F.coalesce("own", F.lit(0)).alias("kind")]
+    nodes = materialize(nodes.join(large, "known", "left").select("root", "fp", "size", "class", "known", *kind), "nodes")
+    keys = ["root", "class", "pure", "kind"]
+    blocks = materialize(nodes.groupBy(*keys).agg(_many().alias("blocks")), "blocks")
+    near = F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)]))
+    others = blocks.select("root", near.alias("class"), F.struct("class", "pure", "kind", "blocks").alias("o"))
+    both = nodes.join(blocks, keys).join(others, ["root", "class"]).filter(~(F.col("pure") & F.col("o.pure") & (F.col("kind") == F.col("o.kind"))))
+    mine = F.xxhash64("root", "class", "pure", "kind", F.pmod("fp", "blocks"))
+    each = both.select("fp", "known", mine.alias("mine"), "root", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.blocks") - 1)).alias("at"))
+    other = F.xxhash64("root", "o.class", "o.pure", "o.kind", "at")
+    groups = each.select("fp", "known", F.xxhash64(F.least("mine", other), F.greatest("mine", other)).alias("g"))
+    return _compare(big.select("fp", "set").join(groups, "fp").select("g", "fp", "known", "set"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,14 +436,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, groups, set) of the rows (fp, groups, text) whose text is the node's: an id may stand in rows of several texts."""
+    """(fp, root, size, blocks, set) of the rows whose last column, the text, is the node's: an id may stand in rows of several texts."""
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
-            made = [shingle_set(w) if (w := words_of(t)) else (0, np.empty(0, np.uint64)) for t in batch.column(2).to_pylist()]
+            made = [shingle_set(w) if (w := words_of(t)) else (0, np.empty(0, np.uint64)) for t in batch.column(4).to_pylist()]
             own = pa.array([m[0] == fp for m, fp in zip(made, batch.column(0).to_pylist())], pa.bool_())
             sets = pa.array([m[1].tobytes() for m in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["fp", "groups", "set"]).filter(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["fp", "root", "size", "blocks", "set"]).filter(own)
 
 
 def copy_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -440,15 +460,20 @@ def copy_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     near = materialize(components(_contracted(found.union(crowded).distinct())), "near")
     rows = signed.select("doc_id", "fp", "size").join(near, F.col("fp") == F.col("node")).groupBy("root", "fp", "size", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     members = materialize(rows.groupBy("root", "fp", "size").agg(F.min_by("doc_id", "doc_id").alias("member"), F.max("rows").alias("rows")), "members")
-    wanted = members.select("fp", "member").join(_groups(members.select("root", "fp", "size")), "fp")
+    whole = members.groupBy("root").agg(_many().alias("blocks"))
+    wanted = members.select("root", "fp", "size", "member").join(whole, "root")
     texts = docs.select(docs[id_col].alias("row_id"), docs[text_col].alias("text"))
     # a merge join at every size: the members' texts are a share of all texts, so their list grows with the input
-    fetched = texts.join(wanted.hint("merge"), F.col("row_id").eqNullSafe(F.col("member"))).select("fp", "groups", "text")
-    sets = fetched.mapInArrow(_sets, "fp long, groups array<long>, set binary")
+    fetched = texts.join(wanted.hint("merge"), F.col("row_id").eqNullSafe(F.col("member"))).select("fp", "root", "size", "blocks", "text")
+    sets = fetched.mapInArrow(_sets, "fp long, root long, size long, blocks long, set binary")
     if not members.filter("rows > 1 or member is null").isEmpty():
-        sets = sets.groupBy("fp").agg(F.any_value("groups").alias("groups"), F.any_value("set").alias("set"))
-    dealt = sets.select(F.explode("groups").alias("g"), "fp", "set")
-    return materialize(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared, "a long, b long"), "copies")
+        sets = sets.groupBy("fp", "root", "size", "blocks").agg(F.any_value("set").alias("set"))
+    sets = materialize(sets, "sets")
+    turn = lambda i: F.xxhash64("root", F.lit(i), F.pmod(F.xxhash64("fp", F.lit(i)), "blocks"))
+    turns = F.when(F.col("blocks") == 1, F.array(turn(0))).otherwise(F.array(turn(0), turn(1)))
+    found = materialize(_compare(sets.select(F.explode(turns).alias("g"), "fp", F.col("fp").alias("known"), "set")), "copies")
+    big = sets.filter("blocks > 1")
+    return found if big.isEmpty() else found.union(materialize(_across(big, found), "copies"))
 
 
 SIMHASH = Scheme((("fp", pa.int64()),), simhash_signature, links)

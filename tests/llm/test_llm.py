@@ -381,6 +381,24 @@ def test_a_hot_template_is_compared_in_blocks(spark, block, monkeypatch):
         texts.append(" ".join([*long[:50], *(number() for _ in range(2 + i % 9)), *long[50:], *(number() for _ in range(i // 4))]))
     assert 1 < check_copies(spark, texts) < 60
 
+def test_a_hot_template_costs_each_node_few_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    plain, dealt = near_dedup._compare, []
+
+    def counted(rows):
+        dealt.append(rows.count())
+        return plain(rows)
+
+    monkeypatch.setattr(near_dedup, "_compare", counted)
+    rng = np.random.default_rng(25)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 9))
+    w = [word() for _ in range(200)]
+    texts = [edited(rng, w, rng.choice(200, 1), word) for _ in range(300)]
+    tail = [word() for _ in range(25)]
+    texts += [" ".join(w[:-20] + tail[:k]) for k in (5, 25)] + [" ".join(tail * 3)]  # few beside the many, one a stranger
+    check_copies(spark, texts)
+    assert dealt[0] <= 2 * len(texts) and sum(dealt) < 6 * len(texts)  # all blocks against all would be 30 for each
+
 
 # Decontamination
 
