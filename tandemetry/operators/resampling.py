@@ -28,7 +28,9 @@ def drawn_weights(clusters: DataFrame, cluster: str, reps: int, draw: Column) ->
     number of clusters; cluster numbers follow their order."""
     ordered = clusters.select(cluster).distinct()
     numbered = ordered.agg(F.sort_array(F.collect_list(cluster)).alias("all"))  # one row: clusters are participants
-    slots = numbered.select("all", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("all", "rep", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("slot"))
+    # replicates are dealt out before they are drawn: from one row they would all be made in one task
+    slots = numbered.select("all", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    slots = slots.repartition("rep").select("all", "rep", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("slot"))
     picked = slots.select("rep", F.get("all", F.pmod(draw, F.size("all")).cast("int")).alias(cluster))
     return picked.groupBy("rep", cluster).agg(F.count(F.lit(1)).alias("w"))
 

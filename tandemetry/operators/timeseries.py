@@ -117,10 +117,12 @@ def overlap_correlations(two: DataFrame, key: str, lags: range, least: int = 8)
 
 
 def best_lags(correlations: DataFrame, key: str, windows: tuple[int, ...]) -> DataFrame:
-    """Per search window the lag of the largest correlation, the most negative on ties; whether it lies on the window's edge."""
-    w = correlations.filter(F.col("r").isNotNull()).withColumn("window", F.explode(F.array(*[F.lit(x) for x in windows]))).filter(F.abs("lag") <= F.col("window"))
-    best = w.groupBy(key, "window").agg(F.max(F.struct("r", (-F.col("lag")).alias("back"))).alias("b"))
-    return best.select(key, "window", (-F.col("b.back")).alias("lag"), F.col("b.r").alias("r"), (F.abs("b.back") == F.col("window")).alias("on_edge"))
+    """Per search window the lag of the largest correlation, the most negative on ties; whether it lies on the window's edge.
+    Without any correlation the row stands with a null lag and r, not on the edge."""
+    w = correlations.withColumn("window", F.explode(F.array(*[F.lit(x) for x in windows]))).filter(F.abs("lag") <= F.col("window"))
+    best = w.groupBy(key, "window").agg(F.max(F.when(F.col("r").isNotNull(), F.struct("r", (-F.col("lag")).alias("back")))).alias("b"))
+    edge = F.coalesce(F.abs("b.back") == F.col("window"), F.lit(False))
+    return best.select(key, "window", (-F.col("b.back")).alias("lag"), F.col("b.r").alias("r"), edge.alias("on_edge"))
 
 
 def drift(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

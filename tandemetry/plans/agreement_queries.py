@@ -88,7 +88,7 @@ def proportional_bias_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPS = 2000
-CI = ("icc_a1", "icc_c1", "ccc", "mae", "rmse", "bias", "prop_slope")
+CI = ("icc_a1", "icc_c1", "ccc", "pearson", "mae", "rmse", "bias", "prop_slope")
 
 
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

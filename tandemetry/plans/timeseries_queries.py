@@ -118,7 +118,9 @@ val AS (SELECT user_id, i, event_type, CASE WHEN ta IS NULL THEN vb WHEN tb IS N
 two AS (SELECT a.user_id, a.i, a.v AS q, b.v AS k FROM val a JOIN val b ON a.user_id = b.user_id AND a.i = b.i AND a.event_type = 'click' AND b.event_type = 'view'),
 cor AS (SELECT a.user_id, l AS lag, count(*) AS n, covar_pop(a.q, b.k) AS c, sqrt(var_pop(a.q) * var_pop(b.k)) AS s FROM two a CROSS JOIN range(-6, 7) AS x(l) JOIN two b ON a.user_id = b.user_id AND b.i = a.i - l GROUP BY ALL),
 good AS (SELECT user_id, lag, c / s AS r FROM cor WHERE n >= 8 AND s * n > 1e-12),
-best AS (SELECT user_id, "window", lag, r, abs(lag) = "window" AS on_edge FROM (SELECT *, row_number() OVER (PARTITION BY user_id, "window" ORDER BY r DESC, lag) AS k FROM good, (VALUES (3), (6)) AS w("window") WHERE abs(lag) <= "window") WHERE k = 1)"""
+searched AS (SELECT DISTINCT user_id, "window" FROM cor, (VALUES (3), (6)) AS w("window") WHERE abs(lag) <= "window"),
+most AS (SELECT user_id, "window", lag, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id, "window" ORDER BY r DESC, lag) AS k FROM good, (VALUES (3), (6)) AS w("window") WHERE abs(lag) <= "window") WHERE k = 1),
+best AS (SELECT user_id, "window", lag, r, coalesce(abs(lag) = "window", false) AS on_edge FROM searched LEFT JOIN most USING (user_id, "window"))"""
 _Q = lambda c: f"round({c}, 6) + 0.0"
 SQL = {
     "strict_time_filter": f"WITH {SERIES}, {_STRICT} SELECT user_id, frame, round(t, 6) + 0.0 AS t, round(t - lag(t) OVER (PARTITION BY user_id ORDER BY frame), 6) + 0.0 AS step FROM kept",

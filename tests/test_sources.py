@@ -68,3 +68,17 @@ def test_stream_equals_batch(spark):
     b = windowed(spark.read.parquet(path).withColumn("at", F.col("ts").cast("timestamp")), "at", "value", "event_type", "1 day", "1 hour")
     key = lambda df: sorted((r.start, r.event_type, r.n, round(r.mean, 9)) for r in df.collect())
     assert key(a) == key(b)
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    import os
+
+    rows = ["2024-01-01 10:00:00", "2024-01-10 10:00:00"], ["2024-01-10 11:00:00"], ["2024-01-01 11:00:00", "2024-01-10 12:00:00"]
+    (tmp_path / "e").mkdir()
+    for i, times in enumerate(rows):  # one file a batch, in the order of their times of change
+        made = spark.createDataFrame([(t, "click", float(i)) for t in times], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        table = made.toPandas()
+        table.to_parquet(tmp_path / "e" / f"{i}.parquet", coerce_timestamps="us")
+        os.utime(tmp_path / "e" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r.start.day: (r.n, r.most) for r in event_windows(spark, str(tmp_path / "e"), files_per_batch=1).collect()}
+    assert got == {1: (1, 0.0), 10: (3, 2.0)}
