@@ -335,8 +335,8 @@ def _alike(fps: list[int], known: list[int], sets: list[bytes]) -> Iterator[tupl
             j = met.bit_length() - 1
             met ^= 1 << j
             if 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * np.count_nonzero(marked[own[j]]) >= 4 * (size[i] + size[j]):
-                yield fps[j], fps[i]
                 keep, give = sorted((root[i], root[j]), key=lambda r: -members[r].bit_count())
+                yield fps[keep], fps[give]  # the components' ends: links to the last partner would be a long chain
                 rest = members[give]
                 joined = members[keep] = members[keep] | rest
                 while rest:
