@@ -10,8 +10,9 @@ a class that has more labels than are taken weighs as much more, so that scores
 of ids is bounded, so it is broadcast; texts are scored where they are read, nothing is shuffled but the sample.
 
 Defined results: a null or empty text has no chunks and gets the score of the bias; bytes past the last step are padded with
-blanks; repeated rows have equal scores; a null id is in no sample and not held out; without labels of both classes every score is the share
-of label 1 (0.5 without any label); ids labelled both ways are left out of the fit. Extra columns are left out.
+blanks; repeated rows have equal scores; a null id is in no sample and not held out; of several texts of one id the smallest
+is fitted; without labels of both classes every score is the share of label 1 (0.5 without any label); ids labelled both
+ways are left out of the fit. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], steps: int
     net = Net.fresh(rng)
     data, y, w = [np.frombuffer(t, np.uint8) for t in texts], np.array(labels), np.array(weights, float)
     share = float((w * y).sum() / w.sum()) if len(y) else 0.5
-    net.offset = float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share == 1 else -30.0 if len(y) else 0.0)
-    if not 0 < share < 1:
+    net.offset = float(np.log(share / (1 - share))) if 0 < share < 1 else 60.0 * share - 30.0
+    if len(set(labels)) < 2:
         net.weights[:] = 0
         return net
     sides = [np.flatnonzero(y == c) for c in (0, 1)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, merkle, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts, url_filter, whitening
+from . import decontaminate, lm_scoring, merkle, near_dedup, packing, pii, quality_cnn, quality_rules, secret_scan, sharding, token_counts, url_filter, whitening
 from ..sources.tables import fresh
 from .common import prepare, tokenizer_path
 from .oracles import ORACLES
@@ -89,6 +89,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
