@@ -126,8 +126,9 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = R.permuted_predictions(_matrix(spark, sf_dir), _labels(spark, sf_dir), PERMUTATIONS, 20260815)
     ranks = ranked(pred.select("rep", "truth", "prediction"), ["rep"], ["truth", "prediction"])
     rho = tables.written(ranks.groupBy("rep").agg(F.corr("rank_truth", "rank_prediction").alias("spearman")), "null")
-    seen = rho.filter(F.col("rep") == 0).select(F.abs("spearman").alias("observed"))
-    p = rho.filter(F.col("rep") > 0).join(F.broadcast(seen), F.abs("spearman") >= F.col("observed"), "left").agg(((1.0 + F.count("observed")) / (1.0 + F.count(F.lit(1)))).alias("p"))
+    size = F.round(F.abs("spearman"), 12)  # equal correlations are a tie, whatever order they were summed in
+    seen = rho.filter(F.col("rep") == 0).select(size.alias("observed"))
+    p = rho.filter(F.col("rep") > 0).join(F.broadcast(seen), size >= F.col("observed"), "left").agg(((1.0 + F.count("observed")) / (1.0 + F.count(F.lit(1)))).alias("p"))
     return rho.join(F.broadcast(p), F.col("rep") >= 0).select("rep", r6("spearman").alias("rho"), r6("p").alias("p"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package even where it isn't installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -28,9 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: the lineage ends there."""
     path = fresh(df.sparkSession, name)
     # what was shuffled for the table is of no use once it is written
-    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.parquet(path)
-    df.sparkSession.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandemetry.operators import ranking as R
 from tandemetry.operators import row_ridge as X
+from tandemetry.operators import subsampling
 from tandemetry.plans import model_queries, ridge_queries
 
 SF = "/root/testdata/sf0.001"
@@ -64,26 +66,78 @@ def test_nulls_flat_columns_and_too_few_participants(spark):
     assert len(two) == 5 and all(r.prediction == pytest.approx(one[r.participant], abs=1e-8) for r in two)
 
 
+def sensors(spark, size=9):
+    """Rows of two sensors and four participants with copies among them; indicator columns tell which were drawn."""
+    rng = np.random.default_rng(2)
+    rows = [(s, p, f"{s}{p}{i}", *map(float, rng.normal(p, 1, 2))) for s in "FO" for p in range(4) for i in range(size + p)]
+    copies = [r for r in rows for _ in range(1 + (r[2][-1] == "1") * 3)]
+    return spark.createDataFrame(copies, "sensor string, participant int, key string, c0 double, c1 double"), copies
+
+
+def which(spark, df, reps, **more):
+    """(sensor, participant, rep): how often each key was drawn."""
+    names = sorted({r.key for r in df.collect()})
+    wide = df.select("sensor", "participant", "key", *((F.col("key") == n).cast("double").alias(n) for n in names))
+    cells = df.groupBy("sensor", "participant").agg(F.floor(F.count(F.lit(1)) * 0.5).alias("k"))
+    out = subsampling.drawn_sums(wide, cells, ["sensor", "participant"], "key", names, reps, 9, products=False, **more).collect()
+    return {(r.sensor, r.participant, r.rep): (r.n, tuple(r.s)) for r in out}, names
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_draws_are_exact_and_depend_on_rows_alone(spark, chunk):
+    df, rows = sensors(spark)
+    got, names = which(spark, df, 40, chunk_rows=chunk)
+    again, _ = which(spark, df.repartition(7).orderBy(F.rand(4)).repartition(3), 40, chunk_rows=chunk)
+    assert got == again and len(got) == 8 * 40
+    times = Counter(r[2] for r in rows)
+    for (sensor, participant, _), (n, s) in got.items():
+        cell = Counter({r[2]: times[r[2]] for r in rows if r[:2] == (sensor, participant)})
+        assert n == sum(s) == sum(cell.values()) // 2
+        assert all(v <= cell[k] for k, v in zip(names, s))
+    for name in names:  # half of a cell's rows is drawn, each as often as any other
+        share = [s[names.index(name)] / times[name] for k, (_, s) in got.items() if name.startswith(f"{k[0]}{k[1]}")]
+        assert 0.2 < np.mean(share) < 0.8
+
+
+def test_drawn_moments(spark):
+    df, rows = sensors(spark)
+    by_name, names = which(spark, df, 3)
+    value = {r[2]: np.array(r[3:]) for r in rows}
+    cells = df.groupBy("sensor", "participant").agg(F.floor(F.count(F.lit(1)) * 0.5).alias("k"))
+    for r in subsampling.drawn_sums(df, cells, ["sensor", "participant"], "key", ["c0", "c1"], 3, 9).collect():
+        n, s = by_name[r.sensor, r.participant, r.rep]
+        assert r.n == n and r.s == pytest.approx(sum(c * value[k] for k, c in zip(names, s)))
+        assert r.q == pytest.approx(sum(c * np.outer(value[k], value[k]) for k, c in zip(names, s)).ravel())
+
+
 def test_random_split(spark):
-    data = ridge_queries.split(ridge_queries.rows(spark, SF), 2)
-    rows = data.collect()
-    labels = {r.participant: r.label for r in ridge_queries._labels(spark, SF).collect()}
-    names = ridge_queries.SETS["primary"]
-    sums = X.moments(data, ["sensor", "rep", "participant", "held"], names)
-    got = {(r.sensor, r.rep, r.participant): r for r in X.held_rows(sums.filter("not held").drop("held"), sums.filter("held").drop("held"), label_rows(spark, labels), ["sensor", "rep"]).collect()}
-    seen = set()
-    for key in {(r.sensor, r.rep) for r in rows}:
-        some = [r for r in rows if (r.sensor, r.rep) == key and r.participant in labels]
-        x, who, held = np.array([[r[n] for n in names] for r in some]), np.array([r.participant for r in some]), np.array([r.held for r in some])
-        for p in np.unique(who):
-            assert held[who == p].sum() == max(1, round(0.3 * (who == p).sum()))
-        a = chosen(x[~held], who[~held], labels)
-        fit = fitted(x[~held], np.array([labels[i] for i in who[~held]]), a)
-        for p in np.unique(who[held]):
-            r = got[*key, p]
-            assert (r.prediction, r.alpha) == (pytest.approx(fit(x[held & (who == p)]).mean(), abs=1e-6), a)
-            seen.add((*key, p))
-    assert seen == set(got)
+    df, rows = sensors(spark)
+    labels = {p: float(p) ** 1.5 for p in range(4)}
+    train, test = ridge_queries.split(df, 2, ["c0", "c1"])
+    names = sorted({r[2] for r in rows})
+    wide = df.select("sensor", "participant", "key", *((F.col("key") == n).cast("double").alias(n) for n in names))
+    held = {(r.sensor, r.rep, r.participant): dict(zip(names, r.s)) for r in ridge_queries.split(wide, 2, names)[1].collect()}
+    got = {(r.sensor, r.rep, r.participant): r for r in X.held_rows(train, test, label_rows(spark, labels), ["sensor", "rep"]).collect()}
+    assert set(got) == set(held) and len(got) == 2 * 2 * 4
+    value, times = {r[2]: np.array(r[3:]) for r in rows}, Counter(r[2] for r in rows)
+    for sensor, rep in {k[:2] for k in held}:
+        mine = lambda count: [(p, k) for p in range(4) for k in names if k.startswith(f"{sensor}{p}") for _ in range(int(count(p, k)))]  # noqa: E731, B023
+        out, kept = mine(lambda p, k: held[sensor, rep, p][k]), mine(lambda p, k: times[k] - held[sensor, rep, p][k])  # noqa: B023
+        for p in range(4):
+            size = sum(q == p for q, _ in out) + sum(q == p for q, _ in kept)
+            assert sum(q == p for q, _ in out) == max(1, round(0.3 * size))
+        x, who = np.array([value[k] for _, k in kept]), np.array([p for p, _ in kept])
+        a = chosen(x, who, labels)
+        fit = fitted(x, np.array([labels[p] for p in who]), a)
+        for p in range(4):
+            want = fit(np.array([value[k] for q, k in out if q == p])).mean()
+            assert (got[sensor, rep, p].prediction, got[sensor, rep, p].alpha) == (pytest.approx(want, abs=1e-6), a)
+
+
+def test_queries_agree_however_rows_are_dealt(spark, monkeypatch):
+    data = ridge_queries.rows(spark, SF)
+    one, two = ridge_queries.equalized(data, 2).collect(), ridge_queries.equalized(data.repartition(11, "key"), 2).collect()
+    assert {(r.rep, r.participant): [round(v, 9) for v in r.x] for r in one} == {(r.rep, r.participant): [round(v, 9) for v in r.x] for r in two}
 
 
 def plain_nested(x, y):
