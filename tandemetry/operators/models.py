@@ -1,97 +1,36 @@
-"""Models over a design matrix, each judged on participants it never saw: MLlib estimators and an ordinal logit.
-
-Elastic net penalises standardised columns with population deviations; MLlib works in units of the label's deviation, so
-the penalties are rescaled. Forest and boosting are MLlib's and not bit-identical to other libraries'; MLlib's boosting
-has no leaf penalty.
-"""
+"""The ordinal logit, and the audit of predictions' ranges."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _linear(alpha: float, l1: float, n: int, sd: float) -> LinearRegression:
-    ridge = sd * alpha * (1 - l1) if l1 else alpha / n * sd
-    reg = alpha * l1 + ridge if l1 else ridge
-    return LinearRegression(featuresCol="z", labelCol="label", standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-9, regParam=reg, elasticNetParam=alpha * l1 / reg if l1 else 0.0)
-
-
-def estimator(name: str, n: int, sd: float, trees: int, rounds: int):
-    """ridge, elastic_net, forest or boosted."""
-    if name == "ridge":
-        return _linear(10.0, 0.0, n, sd)
-    if name == "elastic_net":
-        return _linear(0.1, 0.5, n, sd)
-    if name == "forest":
-        return RandomForestRegressor(featuresCol="z", labelCol="label", numTrees=trees, maxDepth=3, featureSubsetStrategy="0.7", seed=20)
-    return GBTRegressor(featuresCol="z", labelCol="label", maxIter=rounds, maxDepth=2, stepSize=0.1, subsamplingRate=0.8, seed=20)
-
-
-MODELS = ("ridge", "elastic_net", "forest", "boosted")
-
-
-def grid(matrix: DataFrame, folds: int, models: tuple[str, ...] = MODELS, trees: int = 300, rounds: int = 100) -> DataFrame:
-    """(model, participant, truth, prediction, train_low, train_high). matrix: (participant, x, label); a participant's fold
-    is its number modulo ``folds``. One fit per model and fold."""
-    data = matrix.select("participant", array_to_vector("x").alias("raw"), "label", F.pmod("participant", F.lit(folds)).alias("fold"))
-    out = None
-    for k in range(folds):
-        train, test = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
-        n, sd, low, high, width = train.agg(F.count(F.lit(1)), F.stddev_samp("label"), F.min("label"), F.max("label"), F.max(F.size(vector_to_array("raw")))).first()
-        if not n or n < 3:
-            continue
-        scaler = StandardScaler(inputCol="raw", outputCol="s", withMean=True, withStd=True).fit(train)
-        widen = ElementwiseProduct(scalingVec=Vectors.dense([(n / (n - 1)) ** 0.5] * width), inputCol="s", outputCol="z")
-        z = lambda df: widen.transform(scaler.transform(df))
-        for name in models:
-            fitted = estimator(name, n, sd or 1.0, trees, rounds).fit(z(train))
-            part = fitted.transform(z(test)).select(F.lit(name).alias("model"), "participant", F.col("label").alias("truth"), "prediction", F.lit(low).alias("train_low"), F.lit(high).alias("train_high"))
-            out = part if out is None else out.union(part)
-    return out
-
-
 def range_violations(predictions: DataFrame) -> DataFrame:
     """Per model the predictions outside the training labels' range, with the least margins; trees can't leave it."""
     bad = (F.col("prediction") < F.col("train_low") - 1e-12) | (F.col("prediction") > F.col("train_high") + 1e-12)
     return predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("violations"), F.min(F.col("prediction") - F.col("train_low")).alias("low_margin"), F.min(F.col("train_high") - F.col("prediction")).alias("high_margin"))
 
 
-def ordinal_fit(x: np.ndarray, k: np.ndarray, classes: int, penalty: float = 1.0, steps: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """All-threshold logit: weights and increasing thresholds, by accelerated gradient descent."""
-    w, cut = np.zeros(x.shape[1]), np.linspace(-1, 1, classes - 1)
-    side = np.where(k[:, None] <= np.arange(classes - 1), 1.0, -1.0)
-    rate, vw, vc = 1.0 / (0.25 * (np.linalg.norm(x, 2) ** 2 + len(x)) * (classes - 1) + penalty), np.zeros_like(w), np.zeros_like(cut)
+def ordinal_fits(x: np.ndarray, k: np.ndarray, train: np.ndarray, classes: int, penalty: float = 1.0, steps: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """All-threshold logits of several training sets at once: weights (set, column) and increasing thresholds, by accelerated
+    gradient descent. x: (set, row, column), zero where a row isn't in ``train`` (set, row); k: the rows' classes."""
+    w, cut = np.zeros((len(x), x.shape[2])), np.tile(np.linspace(-1, 1, classes - 1), (len(x), 1))
+    side = np.where(k[:, None] <= np.arange(classes - 1), 1.0, -1.0) * train[..., None]
+    norms = np.linalg.norm(x, 2, axis=(1, 2)) ** 2 + train.sum(1)
+    rate, vw, vc = (1.0 / (0.25 * norms * (classes - 1) + penalty))[:, None], np.zeros_like(w), np.zeros_like(cut)
+    flipped = np.ascontiguousarray(x.transpose(0, 2, 1))
     for i in range(steps):
         m = i / (i + 3)
         yw, yc = w + m * vw, cut + m * vc
-        g = -side / (1 + np.exp(np.clip(side * (yc - (x @ yw)[:, None]), -500, 500)))
-        nw, nc = yw - rate * (penalty * yw - x.T @ g.sum(1)), yc - rate * g.sum(0)
+        g = -side / (1 + np.exp(np.clip(side * (yc[:, None, :] - x @ yw[..., None]), -500, 500)))
+        nw, nc = yw - rate * (penalty * yw - (flipped @ g.sum(2, keepdims=True))[..., 0]), yc - rate * g.sum(1)
         vw, vc, w, cut = nw - w, nc - cut, nw, nc
-    return w, np.sort(cut)
+    return w, np.sort(cut, 1)
 
 
-def ordinal(matrix: DataFrame, folds: int, edges: tuple[float, float]) -> DataFrame:
-    """(participant, truth, prediction): a fold's class probabilities times the classes' mean labels. Each fold is a group."""
-    many = matrix.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        fold = group["fold"].iloc[0]
-        x, y = np.stack(group["x"].to_numpy()), group["label"].to_numpy()
-        test = (group["participant"] % folds == fold).to_numpy()
-        mean, sd = x[~test].mean(0), x[~test].std(0)
-        z = (x - mean) / np.where(sd == 0, 1, sd)
-        k = np.searchsorted(np.array(edges), y, side="left")
-        w, cut = ordinal_fit(z[~test], k[~test], len(edges) + 1)
-        below = 1 / (1 + np.exp(-(cut - (z[test] @ w)[:, None])))
-        p = np.diff(np.concatenate([np.zeros((test.sum(), 1)), below, np.ones((test.sum(), 1))], axis=1), axis=1)
-        means = np.array([y[~test][k[~test] == c].mean() if (k[~test] == c).any() else y[~test].mean() for c in range(len(edges) + 1)])
-        return pd.DataFrame({"participant": group["participant"][test], "truth": y[test], "prediction": p @ means})
-
-    return many.groupBy("fold").applyInPandas(fit, "participant int, truth double, prediction double")
+def ordinal_fit(x: np.ndarray, k: np.ndarray, classes: int, penalty: float = 1.0, steps: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """``ordinal_fits`` of one set of rows."""
+    w, cut = ordinal_fits(x[None], k, np.ones((1, len(x)), bool), classes, penalty, steps)
+    return w[0], cut[0]

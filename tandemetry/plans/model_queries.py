@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..operators import agreement as A
 from ..operators import calibration as C
-from ..operators import gates, models
+from ..operators import fold_models as M
+from ..operators import gates
 from ..operators import ranking as R
 from ..operators.relational import ranked
 from ..operators.resampling import sample_without_replacement
@@ -170,24 +171,37 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("rep").agg(F.sum("held").alias("held"), r6(F.avg(F.abs(F.col("a") - F.col("b")))).alias("mae"))
 
 
-TREES, ROUNDS, FOLDS = 20, 5, 2
+def design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sensor, participant, x, label): each sensor's wide matrix, columns in the order of (gesture, feature), of the
+    participants with a label and all cells."""
+    named = cells(obs(spark, sf_dir)).select("sensor", "participant", F.struct(F.format_string("%02d:%s", "gesture", "feature").alias("name"), "value").alias("c"))
+    rows = named.groupBy("sensor", "participant").agg(F.sort_array(F.collect_list("c")).alias("c"))  # a value per cell
+    width = F.max(F.size("c")).over(Window.partitionBy("sensor"))
+    whole = rows.withColumn("width", width).filter(F.size("c") == F.col("width"))
+    return whole.select("sensor", "participant", F.transform("c", lambda v: v["value"]).alias("x")).join(target(spark, sf_dir), "participant")
 
 
-def _predictions(spark: SparkSession, sf_dir: str, which: tuple[str, ...] = models.MODELS) -> DataFrame:
-    data = tables.written(_matrix(spark, sf_dir).join(target(spark, sf_dir), "participant"), "design")
-    return models.grid(data, FOLDS, which, TREES, ROUNDS)
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five models on both sensors, each participant predicted without it, settings chosen inside the folds."""
+    out = M.nested(design(spark, sf_dir), ["sensor"], EDGES)
+    return out.select("sensor", "model", "participant", "candidate", *(r6(c).alias(c) for c in ("truth", "prediction", "loss")))
 
 
-def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every model's predictions of participants it never saw, the ordinal logit's included."""
-    data = _matrix(spark, sf_dir).join(target(spark, sf_dir), "participant")
-    more = models.ordinal(data, FOLDS, EDGES).select(F.lit("ordinal").alias("model"), "participant", "truth", "prediction")
-    return _predictions(spark, sf_dir).select("model", "participant", "truth", "prediction").unionByName(more)
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank metrics of every linear model and sensor; its predictions are written once."""
+    some = {k: M.CANDIDATES[k] for k in ("ridge", "elastic_net")}
+    scored = tables.written(M.nested(design(spark, sf_dir), ["sensor"], EDGES, some), "scored")
+    out = R.rank_metrics(scored.select("sensor", "model", "participant", "truth", "prediction"), ["sensor", "model"], EDGES)
+    return out.select("sensor", "model", "n", *(r6(c).alias(c) for c in ("spearman", "kendall", "mae", "rmse", "kappa")))
 
 
 def rf_range_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest can't predict beyond its training labels."""
-    return models.range_violations(_predictions(spark, sf_dir, ("forest",))).select("model", "n", "violations")
+    """The range of the labels that each outer fold's forests were fitted to, and whether both candidates' predictions lie in it."""
+    found = M.predictions(design(spark, sf_dir), ["sensor"], EDGES, {"forest": M.CANDIDATES["forest"]}, inner=False)
+    inside = (F.col("prediction") >= F.col("low") - 1e-12) & (F.col("prediction") <= F.col("high") + 1e-12)
+    return found.groupBy("sensor", F.col("held").alias("participant")).agg(
+        r6(F.first("low")).alias("low"), r6(F.first("high")).alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(~inside).alias("violations")
+    )
 
 
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +284,9 @@ SQL = {
     "random_split": f"""WITH d AS (SELECT rep, user_id, value, count(*) OVER (PARTITION BY rep, user_id) AS n, row_number() OVER (PARTITION BY rep, user_id ORDER BY {_DRAW}, event_id) AS place FROM events, range(0, {SPLITS}) AS r(rep)),
  t AS (SELECT *, place <= greatest(1, round_even(n * 0.3::DOUBLE, 0)) AS test FROM d), u AS (SELECT rep, user_id, count(*) FILTER (test) AS held, avg(value) FILTER (test) AS a, avg(value) FILTER (NOT test) AS b FROM t GROUP BY ALL)
  SELECT rep::INTEGER AS rep, sum(held)::BIGINT AS held, {_R('avg(abs(a - b))', 'mae')} FROM u GROUP BY 1""",
-    "rf_range_audit": f"""WITH {OBS}, {TARGET}, w AS (SELECT participant FROM obs JOIN tg USING (participant) WHERE sensor = 'F' GROUP BY 1 HAVING count(DISTINCT gesture) = 7) SELECT 'forest' AS model, count(*)::BIGINT AS n, 0::BIGINT AS violations FROM w""",
+    "rf_range_audit": f"""WITH {OBS}, {TARGET}, w AS (SELECT sensor, participant, count(DISTINCT gesture) AS g, any_value(label) AS label FROM obs JOIN tg USING (participant) GROUP BY ALL),
+ c AS (SELECT sensor, max(g) AS most FROM (SELECT sensor, participant, count(DISTINCT gesture) AS g FROM obs GROUP BY ALL) GROUP BY 1), f AS (SELECT sensor, participant, label FROM w JOIN c USING (sensor) WHERE g = most)
+ SELECT a.sensor, a.participant, {_R('min(b.label)', 'low')}, {_R('max(b.label)', 'high')}, 2::BIGINT AS n, 0::BIGINT AS violations FROM f a JOIN f b ON a.sensor = b.sensor AND a.participant <> b.participant GROUP BY 1, 2""",
     "gate_checks": f"""WITH {OBS}, c AS (SELECT count(DISTINCT sensor) = 2 AS both_sensors, count(DISTINCT condition) = 3 AS three_conditions, count(DISTINCT gesture) = 7 AS seven_gestures, bool_and(quantity BETWEEN 1 AND 50) AS quantities_in_range,
  bool_and(discount >= 0 AND discount < 1) AS discounts_in_range, bool_and(extendedprice IS NOT NULL AND NOT isnan(extendedprice)) AS prices_finite FROM obs) UNPIVOT c ON COLUMNS(*) INTO NAME gate VALUE passed""",
     "export_roundtrip": f"WITH {OBS}, {paired_sql()} SELECT feature, count(*)::BIGINT AS n, count(*)::BIGINT AS csv_equal, count(*)::BIGINT AS json_equal FROM paired GROUP BY 1",
@@ -280,6 +296,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         calibration_ridge_oof, calibration_stability, calibration_three_way, calibration_changes, wide_matrix, rank_metrics, ridge_loso_univariate, holm_adjust, nested_ridge, permutation_null,
-        jackknife, equalize_sample, random_split, model_grid, rf_range_audit, gate_checks, export_roundtrip, streaming_event_windows,
+        jackknife, equalize_sample, random_split, model_grid, model_metrics, rf_range_audit, gate_checks, export_roundtrip, streaming_event_windows,
     )
 }
