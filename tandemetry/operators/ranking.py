@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import kendall_cells
 from .relational import ranked
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -31,10 +32,7 @@ def rank_metrics(scored: DataFrame, keys: list[str], edges: tuple[float, float])
     r = ranked(scored.select(*keys, "truth", "prediction"), keys, ["truth", "prediction"])
     err = F.col("prediction") - F.col("truth")
     basic = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rank_truth", "rank_prediction").alias("spearman"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
-    a, b = (scored.select(*keys, F.col("participant").alias(f"p{i}"), F.col("truth").alias(f"t{i}"), F.col("prediction").alias(f"q{i}")) for i in (1, 2))
-    pairs = a.join(b, keys).filter(F.col("p1") < F.col("p2"))
-    s = F.signum(F.col("t1") - F.col("t2")) * F.signum(F.col("q1") - F.col("q2"))
-    tau = pairs.groupBy(*keys).agg((F.sum(s) / F.nullif(F.sqrt(F.sum(F.when(F.col("t1") != F.col("t2"), 1.0).otherwise(0.0)) * F.sum(F.when(F.col("q1") != F.col("q2"), 1.0).otherwise(0.0))), F.lit(0.0))).alias("kendall"))
+    tau = kendall_cells(scored, keys, "truth", "prediction")
     return basic.join(tau, keys, "left").join(kappa(scored.select(*keys, band("truth", edges).alias("a"), band("prediction", edges).alias("b")), keys), keys, "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
+from ..operators import order_statistics as S
 from ..operators import relational as R
 from .views import intervals, table
 
@@ -59,9 +60,17 @@ def duration_groupingsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     d = F.abs(F.col("o_totalprice") - 20 * F.col("c_acctbal"))
     rows = o.select("o_orderpriority", "o_orderstatus", d.alias("d"))
-    aggs = [F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"), r6(F.percentile("d", F.lit(0.5))).alias("median"), r6(F.percentile("d", F.lit(0.95))).alias("p95")]
+    aggs = [F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd")]
     aggs += [r6(100 * F.avg(F.when(F.col("d") > x, 1.0).otherwise(0.0))).alias(f"over_{int(x)}") for x in LIMITS]
-    return R.grouping_summary(rows, [[], ["o_orderpriority"], ["o_orderstatus"]], aggs)
+    groups = [[], ["o_orderpriority"], ["o_orderstatus"]]
+    summary = R.grouping_summary(rows, groups, aggs)
+    # the overall group is as large as the table: its order statistics come from ranges, not from one task
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), *((F.col(k) if k in g else F.lit(None).cast("string")).alias(k) for k in ("o_orderpriority", "o_orderstatus"))) for i, g in enumerate(groups))))
+    keys = ["g.level", "g.o_orderpriority", "g.o_orderstatus"]
+    q = S.quantiles(rows.select(each.alias("g"), "d").select(*keys, "d"), ["level", "o_orderpriority", "o_orderstatus"], "d", {"median": 0.5, "p95": 0.95})
+    q = q.select(*(F.col(k).alias(f"_{k}") for k in ("level", "o_orderpriority", "o_orderstatus")), r6("median").alias("median"), r6("p95").alias("p95"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("level", "o_orderpriority", "o_orderstatus")]
+    return summary.join(q, on[0] & on[1] & on[2]).drop("_level", "_o_orderpriority", "_o_orderstatus")
 
 
 def jitter_topk_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +87,16 @@ def jitter_topk_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spearman_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of a user's value and hour of day per event type, ties sharing their mean rank."""
     ev = table(spark, sf_dir, "events").select("event_type", F.floor("value").alias("a"), F.hour(F.col("ts").cast("timestamp")).alias("b"))
-    ranks = R.ranked(ev, ["event_type"], ["a", "b"])
+    ranks = S.ranked(ev, ["event_type"], ["a", "b"])
     return ranks.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("rank_a", "rank_b")).alias("rho"))
 
 
+def kendall_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau-b of an order's priority and the floor of its price in thousands, per status."""
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("a"), F.floor(F.col("o_totalprice") / 1000).alias("b"))
+    return S.kendall(o, ["o_orderstatus"], "a", "b").select("o_orderstatus", r6("kendall").alias("kendall"))
+
+
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys on one side only, orders against line items."""
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
@@ -110,7 +125,11 @@ SQL = {
  SELECT excluded, event_type, count(*)::BIGINT AS n, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS most FROM r, s WHERE place > ceil(n * excluded) GROUP BY ALL""",
     "spearman_association": """WITH e AS (SELECT event_type, floor(value) AS a, hour(ts) AS b FROM events), r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY a) + (count(*) OVER (PARTITION BY event_type, a) - 1) / 2.0::DOUBLE AS ra,
  rank() OVER (PARTITION BY event_type ORDER BY b) + (count(*) OVER (PARTITION BY event_type, b) - 1) / 2.0::DOUBLE AS rb FROM e) SELECT event_type, count(*)::BIGINT AS n, round(corr(ra, rb), 6) + 0.0 AS rho FROM r GROUP BY 1""",
+    "kendall_association": """WITH o AS (SELECT o_orderstatus AS s, substring(o_orderpriority, 1, 1)::INT AS a, floor(o_totalprice / 1000) AS b FROM orders), c AS (SELECT s, a, b, count(*) AS c FROM o GROUP BY ALL),
+ p AS (SELECT x.s, sum(sign(x.a - y.a) * sign(x.b - y.b) * x.c * y.c)::DOUBLE / 2 AS d FROM c x JOIN c y ON x.s = y.s GROUP BY 1), n AS (SELECT s, sum(c)::DOUBLE AS n FROM c GROUP BY 1),
+ ta AS (SELECT s, sum(k::DOUBLE * (k - 1) / 2) AS t FROM (SELECT s, a, sum(c) AS k FROM c GROUP BY ALL) GROUP BY 1), tb AS (SELECT s, sum(k::DOUBLE * (k - 1) / 2) AS t FROM (SELECT s, b, sum(c) AS k FROM c GROUP BY ALL) GROUP BY 1)
+ SELECT s AS o_orderstatus, round(d / sqrt(n * (n - 1) / 2 - ta.t) / sqrt(n * (n - 1) / 2 - tb.t), 6) + 0.0 AS kendall FROM p JOIN n USING (s) JOIN ta USING (s) JOIN tb USING (s)""",
     "alignment_check": """WITH b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT count(*) FILTER (b.k IS NULL)::BIGINT AS left_only, count(*) FILTER (o_orderkey IS NULL)::BIGINT AS right_only,
  count(*) FILTER (b.k IS NOT NULL AND o_orderkey IS NOT NULL)::BIGINT AS matched FROM orders FULL JOIN b ON o_orderkey = b.k""",
 }
-QUERIES = {f.__name__: f for f in (set_pairing, lookup_left, semi_anti, key_parse, label_intervals, duration_groupingsets, jitter_topk_exclusion, spearman_association, alignment_check)}
+QUERIES = {f.__name__: f for f in (set_pairing, lookup_left, semi_anti, key_parse, label_intervals, duration_groupingsets, jitter_topk_exclusion, spearman_association, kendall_association, alignment_check)}
