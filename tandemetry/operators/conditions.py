@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.recurrence import Cascade
 from ..functions.signal import PAD, biquads, spectral_arc_length
+from ..sources.tables import with_package
 from . import geometry as G
 from .timeseries import gradient
 
@@ -37,15 +39,9 @@ def zero_phase(v: np.ndarray, cutoff: float, rate: float) -> np.ndarray:
     if n < PAD + 1 or not 0 < cutoff < rate / 2:
         return v
     x = np.concatenate([2 * v[0] - v[PAD:0:-1], v, 2 * v[-1] - v[::-1][1 : PAD + 1]])
+    cascade = Cascade(biquads(cutoff, rate))
     for _ in range(2):
-        start = x[0]
-        for b0, b1, b2, a1, a2 in biquads(cutoff, rate):
-            p, q, y = start * (1 - b0), start * (b2 - a2), np.empty_like(x)
-            for i, s in enumerate(x):
-                y[i] = out = b0 * s + p
-                p, q = b1 * s - a1 * out + q, b2 * s - a2 * out
-            x = y
-        x = x[::-1]
+        x = cascade.run(x, cascade.steady(x[0]))[0][::-1]
     return x[PAD : PAD + n]
 
 
@@ -91,6 +87,7 @@ CONDITIONS: dict[str, Callable] = {f.__name__: f for f in (resample_then_filter,
 
 def preprocessed(pose: DataFrame, key: str = "label", conditions: dict[str, Callable] = CONDITIONS) -> DataFrame:
     """(key, condition, joint, frame, t, x, y, z) under each condition, gaps filled first. pose: (key, joint, frame, t, x, y, z)."""
+    with_package(pose.sparkSession)
     kind = pose.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

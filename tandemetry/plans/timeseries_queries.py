@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quality_bucket, r6
+from ..operators import long_series as L
 from ..operators import timeseries as T
 from .views import seconds, series, table
 
@@ -42,6 +43,40 @@ def uniform_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.uniform_resample(series(spark, sf_dir), "user_id", RATE).select("user_id", "i", r6("v").alias("v"))
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series: k, frame, t (seconds since the first), v."""
+    ev = table(spark, sf_dir, "events").select(F.lit(0).alias("k"), "event_id", seconds(F.col("ts")).alias("a"), F.col("value").alias("v"))
+    s = L.chunked(ev, "k", ["a", "event_id"])
+    first = ev.groupBy("k").agg(F.min("a").alias("first"))
+    return s.join(F.broadcast(first), "k").select("k", (F.col("pos") + 1).alias("frame"), (F.col("a") - F.col("first")).alias("t"), "v")
+
+
+#: Rows of a chunk of the one series: small beside the table, so that the queries go over many chunks.
+PART = 1000
+
+
+def long_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = L.strictly_increasing(whole(spark, sf_dir), "k", "frame", "t", 1.0, PART).withColumn("h", F.col("t") / STEP)
+    return L.with_gradient(s, "k", "frame", "h", "v", "slope", PART).select("frame", r6("slope").alias("slope"))
+
+
+def long_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of up to five chunks."""
+    s = whole(spark, sf_dir).withColumn("g", F.when((F.col("frame") % 7 != 1) & ~F.col("frame").between(1500, 6500), F.col("v")))
+    return L.with_filled(s, "k", "frame", "g", "filled", PART).select("frame", r6("filled").alias("filled"))
+
+
+def long_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one series every half hour."""
+    return L.uniform_resample(whole(spark, sf_dir), "k", 1 / 1800.0, size=PART, order="frame").select("i", r6("v").alias("v"))
+
+
+def long_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one series on its grid, filtered forward and backward at a tenth of the grid's rate."""
+    s = L.uniform_resample(whole(spark, sf_dir), "k", 1 / 1800.0, size=PART, order="frame")
+    return L.lowpass(s, "k", "i", ["v"], 0.1 / 1800.0, 1 / 1800.0, PART).select(F.col("pos").alias("i"), r6("v").alias("v"))
+
+
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event nearest to each noon of a user's time, a day away at most."""
     s = series(spark, sf_dir)
@@ -122,7 +157,19 @@ searched AS (SELECT DISTINCT user_id, "window" FROM cor, (VALUES (3), (6)) AS w(
 most AS (SELECT user_id, "window", lag, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id, "window" ORDER BY r DESC, lag) AS k FROM good, (VALUES (3), (6)) AS w("window") WHERE abs(lag) <= "window") WHERE k = 1),
 best AS (SELECT user_id, "window", lag, r, coalesce(abs(lag) = "window", false) AS on_edge FROM searched LEFT JOIN most USING (user_id, "window"))"""
 _Q = lambda c: f"round({c}, 6) + 0.0"
+_WHOLE = "s AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS frame, epoch_us(ts) / 1e6::DOUBLE - min(epoch_us(ts) / 1e6::DOUBLE) OVER () AS t, value AS v FROM events)"
 SQL = {
+    "long_gradient": f"""WITH {_WHOLE}, k AS (SELECT frame, t, v FROM (SELECT *, lag(t) OVER (ORDER BY frame) AS b FROM s) WHERE b IS NULL OR t - b > 1),
+ n AS (SELECT frame, t / {STEP} AS h, v, lag(t / {STEP}) OVER w AS h0, lag(v) OVER w AS v0, lead(t / {STEP}) OVER w AS h1, lead(v) OVER w AS v1 FROM k WINDOW w AS (ORDER BY frame))
+ SELECT frame, round(CASE WHEN h0 IS NULL AND h1 IS NULL THEN 0 WHEN h0 IS NULL THEN (v1 - v) / (h1 - h) WHEN h1 IS NULL THEN (v - v0) / (h - h0)
+ ELSE (pow(h - h0, 2) * v1 + (pow(h1 - h, 2) - pow(h - h0, 2)) * v - pow(h1 - h, 2) * v0) / ((h - h0) * (h1 - h) * (h1 - h0)) END, 6) + 0.0 AS slope FROM n""",
+    "long_gap_fill": f"""WITH {_WHOLE}, g AS (SELECT frame, CASE WHEN frame % 7 <> 1 AND NOT frame BETWEEN 1500 AND 6500 THEN v END AS g FROM s),
+ f AS (SELECT g.*, a.frame AS i, a.g AS x, b.frame AS j, b.g AS y FROM g ASOF LEFT JOIN (SELECT * FROM g WHERE g IS NOT NULL) a ON a.frame <= g.frame ASOF LEFT JOIN (SELECT * FROM g WHERE g IS NOT NULL) b ON b.frame >= g.frame)
+ SELECT frame, round(coalesce(g, x + (y - x) * (frame - i) / nullif(j - i, 0), x, y, 0), 6) + 0.0 AS filled FROM f""",
+    "long_resample": f"""WITH {_WHOLE}, u AS (SELECT t, v FROM (SELECT *, lag(t) OVER (ORDER BY frame) AS b FROM s) WHERE b IS NULL OR t - b > 1e-9), e AS (SELECT max(t) AS hi, floor(max(t) / 1800)::BIGINT AS k FROM u),
+ grid AS (SELECT i, i * 1800.0::DOUBLE AS t FROM (SELECT unnest(range(0, k + 1 + CASE WHEN hi - k * 1800 > 900 THEN 1 ELSE 0 END)) AS i FROM e)),
+ p AS (SELECT i, g.t, a.t AS ta, a.v AS va, b.t AS tb, b.v AS vb FROM grid g ASOF LEFT JOIN u a ON a.t <= g.t ASOF LEFT JOIN u b ON b.t >= g.t)
+ SELECT i, round(CASE WHEN tb IS NULL OR tb = ta THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END, 6) + 0.0 AS v FROM p""",
     "strict_time_filter": f"WITH {SERIES}, {_STRICT} SELECT user_id, frame, round(t, 6) + 0.0 AS t, round(t - lag(t) OVER (PARTITION BY user_id ORDER BY frame), 6) + 0.0 AS step FROM kept",
     "gradient_series": f"""WITH {SERIES}, {_STRICT}, n AS (SELECT user_id, frame, t / {STEP} AS h, v, lag(t / {STEP}) OVER w AS h0, lag(v) OVER w AS v0, lead(t / {STEP}) OVER w AS h1, lead(v) OVER w AS v1 FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY frame))
  SELECT user_id, frame, round(CASE WHEN h0 IS NULL AND h1 IS NULL THEN 0 WHEN h0 IS NULL THEN (v1 - v) / (h1 - h) WHEN h1 IS NULL THEN (v - v0) / (h - h0)
@@ -154,4 +201,4 @@ SQL = {
     "clock_drift": f"""WITH {SERIES}, d AS (SELECT user_id, t / 86400 AS x, v AS y FROM series), m AS (SELECT user_id, count(*)::BIGINT AS n, count(DISTINCT x) AS k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, var_samp(x) AS vx, var_samp(y) AS vy FROM d GROUP BY 1)
  SELECT user_id, n, {_Q('slope')} AS slope, {_Q('intercept')} AS intercept, {_Q('r')} AS r, {_Q('sqrt(greatest(0, 1 - r * r) * vy / (vx * (n - 2)))')} AS slope_se FROM m WHERE n >= 3 AND k >= 2""",
 }
-QUERIES = {f.__name__: f for f in (strict_time_filter, gradient_series, gap_fill, interval_stats, uniform_resample, asof_nearest, boundary_shift, overlap_lag, lag_quality_summary, lag_corrected, clock_drift)}
+QUERIES = {f.__name__: f for f in (strict_time_filter, gradient_series, gap_fill, interval_stats, uniform_resample, asof_nearest, boundary_shift, overlap_lag, lag_quality_summary, lag_corrected, clock_drift, long_gradient, long_gap_fill, long_resample, long_lowpass)}
