@@ -7,8 +7,8 @@ pairs of words; an arc for each n-gram seen leads to the longest history that it
 fits, leads from a pair to its last word and from a word to the empty state, with weight log mu / (c(history) + mu). Texts
 are read once from left to right, many side by side: each carries its state and adds up the weights of the arcs it takes.
 
-No task holds the whole model, which grows with the corpus. Documents are read in blocks of ``ROWS`` rows of a partition of
-the scan. A block sends the distinct n-grams of all its texts with their training counts, packed into sorted arrays cut into
+No task holds the whole model, which grows with the corpus. Documents are read in blocks of a partition of the scan,
+bounded in rows and in bytes. A block sends the distinct n-grams of all its texts with their training counts, packed into sorted arrays cut into
 ``FAN`` ranges of their hashes. A range's task adds up the counts and answers each block in the order of the block's own
 keys, so an answer is counts only. Of more than ``FAN`` blocks, groups of about that many are added up first, range by
 range, and their sums are cut and sent on in the same way; the answers come back along the same tree. So a block sends and
@@ -41,8 +41,10 @@ from .common import materialize, prepare
 FOLDS, HELD_OUT = 7, 2
 #: Smoothing of the orders 2 and 3.
 MU = (500.0, 20.0)
-#: Rows of a block, as a power of two; ranges of a message and blocks of a group.
+#: Rows of a block at most, as a power of two; ranges of a message and blocks of a group.
 ROWS_LOG2, FAN = 12, 128
+#: Bytes of text of a block, beside the longest text: a task's memory is some 25 times as much.
+BLOCK_BYTES = 24 << 20
 #: Not words, as words hold no white space.
 START, END = b"\t", b"\n"
 
@@ -336,13 +338,26 @@ def _scorer(unigrams: Unigrams, mu: tuple[float, float]):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = MU, stable: bool = False, rows_log2: int = ROWS_LOG2, fan: int = FAN) -> DataFrame:
+def _fitting(rows: DataFrame, rows_log2: int, most: int) -> int:
+    """The largest power of two of rows, up to rows_log2, whose blocks hold at most ``most`` bytes of text and the longest text."""
+    sizes = rows.select(F.monotonically_increasing_id().alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"))
+    while rows_log2 > 0:
+        blocks = sizes.groupBy(F.shiftright("id", rows_log2)).agg(F.sum("b").alias("b"), F.max("b").alias("m"))
+        largest, longest = blocks.agg(F.max("b"), F.max("m")).first()
+        if not largest or largest <= most + longest:
+            break
+        rows_log2 = max(0, rows_log2 - max(1, (largest // (most + longest)).bit_length() - 1))
+    return rows_log2
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = MU, stable: bool = False, rows_log2: int = ROWS_LOG2, fan: int = FAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. stable: docs is a plain read of
     files, whose partitions are the same each time; else the rows are first written to the shared folder. fan: a power of two."""
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     if not stable:
         rows = materialize(rows, "lm-rows")
+    rows_log2 = _fitting(rows, rows_log2, block_bytes)
     block = F.shiftright(F.monotonically_increasing_id(), rows_log2).alias("block")
     rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "text", block)
     per_part = rows.groupBy(F.shiftright("block", 33 - rows_log2).alias("part")).agg(F.max("block").alias("last"))

@@ -2,7 +2,8 @@
 
 Each task packs what it reads: an open sequence takes, again and again, the waiting piece whose demand has the largest
 dot product with the sequence's remaining room (all three as shares of their limits), until none fits; then the piece
-that can give the most is cut to fill the rest. Only a bounded pool of pieces waits, so memory doesn't grow with the
+that can give the most is cut to fill the rest. For documents, a sequence that runs out of segments before is cut back to a power
+of two. Only a bounded pool of pieces waits, so memory doesn't grow with the
 input, nothing is shuffled, and a lost task is simply run again. The last pieces of a task, too few for a full sequence,
 go to sequences whose lengths are powers of two, which need no padding.
 
@@ -36,12 +37,14 @@ END_ID = 2
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence. pool: pieces that wait at most; a task's memory is about pool * tokens ids."""
+    """Of one sequence. pool: pieces that wait at most; a task's memory is about pool * tokens ids. powers: a sequence that
+    another limit ends before its tokens is cut back to a power of two, for padding that spares such lengths."""
 
     tokens: int = 4096
     segments: int = 512
     loss: int = 4096
     pool: int = 512
+    powers: bool = False
 
 
 class Packer:
@@ -75,7 +78,22 @@ class Packer:
 
     def fill(self, most: int) -> None:
         """One sequence of at most so many tokens from the pool."""
-        lim = self.limits
+        while True:
+            before = self.n, self.keys[: self.n], self.start[: self.n].copy(), self.left[: self.n].copy(), self.prompt[: self.n].copy()
+            chosen = self._chosen(most)
+            length = sum(c[2] for c in chosen)
+            if not self.limits.powers or length == most or not length & (length - 1):
+                break
+            n = before[0]
+            self.n, self.keys[:n], self.start[:n], self.left[:n], self.prompt[:n] = before
+            most = 1 << (length.bit_length() - 1)
+        for key, start, take, offset in chosen:
+            self.place(key, start, take, self.sequence, offset)
+        self.sequence += bool(chosen)
+
+    def _chosen(self, most: int) -> list[tuple]:
+        """(key, start, length, offset) of the pieces that one sequence takes from the pool."""
+        lim, chosen = self.limits, []
         room, slots, loss_room, offset = most, lim.segments, lim.loss, 0
         while room and slots and self.n:
             left, prompt = self.left[: self.n], self.prompt[: self.n]
@@ -91,7 +109,7 @@ class Packer:
                 take = int(can[i])
                 if take <= 0:
                     break
-            self.place(self.keys[i], int(self.start[i]), take, self.sequence, offset)
+            chosen.append((self.keys[i], int(self.start[i]), take, offset))
             offset += take
             room -= take
             slots -= 1
@@ -105,8 +123,7 @@ class Packer:
                 self.start[i] += take
                 self.left[i] -= take
                 self.prompt[i] = max(0, int(self.prompt[i]) - take)
-        if offset:
-            self.sequence += 1
+        return chosen
 
     def finish(self) -> None:
         while self.n:
@@ -158,7 +175,7 @@ def prompt_length(text: str, runs: Runs) -> int:
 
 
 #: For documents: a sequence of a few long ones has few segments, one of short ones is closed by the segments.
-DOCUMENTS = Limits(segments=128)
+DOCUMENTS = Limits(segments=128, powers=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = DOCUMENTS, end_id: int = END_ID) -> DataFrame:

@@ -202,6 +202,31 @@ def plain_pack(rows, lim):
     return out
 
 
+@pytest.mark.parametrize("size", [1, 6, 20, 37])
+def test_short_documents_leave_no_padding(size):
+    placed = []
+    packer = packing.Packer(packing.DOCUMENTS, lambda *p: placed.append(p), 0)
+    for i in range(3000):
+        packer.add(i, size, size - size // 3)
+    packer.finish()
+    lengths, pieces = Counter(), Counter()
+    for key, start, length, sequence, offset in placed:
+        assert offset == lengths[sequence] and length > 0
+        lengths[sequence] += length
+        pieces[key] += length
+    assert all(n == 4096 or not n & (n - 1) for n in lengths.values())
+    assert set(pieces.values()) == {size} and len(pieces) == 3000
+    assert max(Counter(p[3] for p in placed).values()) <= packing.DOCUMENTS.segments
+
+
+def test_tiny_documents_leave_no_padding(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("few words "), F.col("id").cast("string")).alias("text"))
+    from tandemetry.llm.common import tokenizer_path
+
+    lengths = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert all(r.n == 4096 or not r.n & (r.n - 1) for r in lengths)
+
+
 def test_packing_chooses_by_the_dot_product():
     rng = np.random.default_rng(8)
     for lim in (packing.Limits(512, 6, 200, 64), packing.Limits(512, 40, 512, 32), packing.Limits(512, 9, 400, 10)):
@@ -457,6 +482,16 @@ def test_the_automaton_keeps_its_bound_and_is_built_once(spark):
 # Language model
 
 
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = spark.range(0, 400, 1, 2).select(F.concat(F.lit("x"), F.repeat(F.lit("word "), F.when(F.col("id") == 7, 9000).otherwise(1000))).alias("text"))
+    assert lm_scoring._fitting(rows, 12, 10**9) == 12
+    for most in (5_000, 60_000, 200_000):
+        log2 = lm_scoring._fitting(rows, 12, most)
+        largest = lambda s: rows.groupBy(F.shiftright(F.monotonically_increasing_id(), s)).agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0]
+        assert largest(log2) <= most + 45_001 and (log2 == 12 or largest(log2 + 2) > most)
+    assert lm_scoring._fitting(rows.limit(0), 12, 10) == 12
+
+
 @pytest.mark.parametrize("rows_log2,fan", [(12, 128), (2, 4)])
 def test_scores(spark, rows_log2, fan):
     docs = awkward(spark).union(documents(spark).limit(40))
