@@ -42,9 +42,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Smoothing of the orders 2 and 3.
 MU = (500.0, 20.0)
 #: Rows of a block at most, as a power of two; ranges of a message and blocks of a group.
-ROWS_LOG2, FAN = 12, 128
+ROWS_LOG2, FAN = 11, 128
 #: Bytes of text of a block, beside the longest text: a task's memory is some 25 times as much.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Not words, as words hold no white space.
 START, END = b"\t", b"\n"
 
