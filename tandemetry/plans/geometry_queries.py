@@ -10,7 +10,7 @@ from ..functions.signal import biquads, lowpass, spectral_arc_length
 from ..operators import geometry as G
 from ..operators.conditions import feature_table
 from ..operators.timeseries import interpolate
-from .views import RATE, pose, wave
+from .views import RATE, pose, uneven_pose, wave
 
 CUTOFF = 6.0
 #: A joint from one or several markers, in two modes.
@@ -70,7 +70,7 @@ def jump_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen features of every trajectory under every preprocessing condition, with the quality of its samples."""
-    out = feature_table(pose(spark, sf_dir))
+    out = feature_table(uneven_pose(spark, sf_dir))
     return out.select("label", "condition", *(r6(c).alias(c) for c in out.columns if c not in ("label", "condition")))
 
 

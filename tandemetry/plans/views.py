@@ -68,6 +68,20 @@ def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("label", "frame", (F.col("frame") / F.lit(RATE)).alias("t"), F.explode(joints).alias("j")).select("label", "frame", "t", "j.*")
 
 
+def uneven_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pose`` as an instrument of another rate records it: the step before a frame is 0.5 to 1.5 of a 60th of a second, by
+    the event of the vector's number, and every thirteenth coordinate x is missing."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), (F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000003)) / 1000003.0).alias("u"))
+    vec = table(spark, sf_dir, "embeddings").select("label", "vec_id")
+    by_id = Window.partitionBy("label").orderBy("vec_id")
+    step = (F.coalesce("u", F.lit(0.5)) + 0.5) / 60.0
+    times = vec.join(ev, "vec_id", "left").select("label", "vec_id", (F.row_number().over(by_id).cast("long") - 1).alias("frame"), step.alias("step"))
+    times = times.withColumn("at", F.sum("step").over(by_id.rowsBetween(Window.unboundedPreceding, 0)) - F.first("step").over(by_id))
+    whole = pose(spark, sf_dir).join(times.select("label", "frame", F.col("at").alias("time")), ["label", "frame"])
+    missing = F.pmod(F.col("frame") + F.col("joint"), F.lit(13)) == 0
+    return whole.select("label", "frame", F.col("time").alias("t"), "joint", F.when(~missing, F.col("x")).alias("x"), "y", "z")
+
+
 def wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, v (array): each vector as a signal of 64 samples at 30 Hz."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

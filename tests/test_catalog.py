@@ -8,7 +8,7 @@ from tandemetry.plans import catalog
 from .parity import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = ["proportional_bias_p", "nested_ridge", "permutation_null", "model_grid"]
+ROWS_ONLY = ["proportional_bias_p", "nested_ridge", "permutation_null", "model_metrics", "long_lowpass"]
 
 
 @pytest.fixture(scope="module")

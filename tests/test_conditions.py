@@ -60,6 +60,10 @@ def test_missing_coordinates_are_counted_then_filled(spark):
 def test_feature_cache(spark):
     rows = catalog.queries()["feature_cache"](spark, SF).collect()
     labels = views.pose(spark, SF).select("label").distinct().count()
+    named = [c for c in rows[0].asDict() if c not in ("label", "condition", "missing_rate", "jump_outlier_rate")]
+    for label in {r.label for r in rows}:  # no two conditions agree on uneven times
+        assert len({tuple(r[c] for c in named) for r in rows if r.label == label}) == len(C.CONDITIONS)
+    assert all(0 < r.missing_rate < 0.05 for r in rows)
     assert len(rows) == labels * len(C.CONDITIONS) and all(r.sparc is not None and math.isfinite(r.peak) for r in rows)
 
 
