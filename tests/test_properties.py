@@ -219,6 +219,16 @@ def test_gates_stop(spark):
         gates.enforce(gates.checks(df, {"four": F.count(F.lit(1)) == 4}))
 
 
+def test_gates_observed_while_writing(spark):
+    df = spark.range(100).repartition(3)
+    low = {"hundred": F.count(F.lit(1)) == 100, "low": F.bool_and(F.col("id") < 100)}
+    assert gates.guarded(df, "ids", low).count() == 100
+    with pytest.raises(AssertionError, match="few, low"):
+        gates.guarded(df, "ids", {**low, "low": F.bool_and(F.col("id") < 50), "few": F.count(F.lit(1)) < 9})
+    with pytest.raises(AssertionError, match="low"):
+        gates.guarded(df.limit(0), "ids", {"low": low["low"]})  # nothing holds of no rows
+
+
 def test_training_range_audit(spark):
     df = spark.createDataFrame([("m", p, 4.97, 9.57) for p in (4.97, 6.1, 9.57, 9.58)], "model string, prediction double, train_low double, train_high double")
     assert models.range_violations(df).first().violations == 1

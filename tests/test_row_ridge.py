@@ -197,3 +197,16 @@ def test_equalised_cells(spark):
         if len(some) > 3:
             for r, (prediction, alpha) in zip(some, plain_nested(np.array([r.x for r in some]), np.array([labels[r.participant] for r in some]))):
                 assert (got[rep, r.participant].prediction, got[rep, r.participant].alpha) == (pytest.approx(prediction, abs=1e-7), alpha)
+
+
+def test_jackknife_against_a_plain_loop(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(7, 5)), rng.normal(size=7)
+    matrix = spark.createDataFrame([(i, x[i].tolist()) for i in range(7)], "participant int, x array<double>")
+    rows = R.nested_predictions(R.response_weights(matrix, omit=True), label_rows(spark, dict(enumerate(map(float, y)))), []).collect()
+    got = {(r.omitted, r.participant): r for r in rows}
+    assert len(got) == 7 * 6
+    for gone in range(7):
+        rest = [i for i in range(7) if i != gone]
+        for i, (prediction, alpha) in zip(rest, plain_nested(x[rest], y[rest])):
+            assert (got[gone, i].prediction, got[gone, i].alpha) == (pytest.approx(prediction, abs=1e-8), alpha)
