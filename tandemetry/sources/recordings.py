@@ -1,43 +1,20 @@
-"""Recordings: zip archives of text members, annotations, depth-camera and marker files, participants' metadata.
-
-An archive is one binary row; its members are listed by an Arrow function, one archive at a time, and everything after is
-expressions on text.
-"""
+"""Recordings: annotations, depth-camera and marker files, participants' metadata, as expressions on the texts of an archive's
+members (``archives.members``)."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .archives import members
+
+__all__ = ["annotations", "depth_frames", "marker_frames", "marker_header", "members", "participants"]
+
 #: Values in a depth-camera frame: a time in ms and 25 joints.
 FRAME_VALUES = 76
 SEGMENT_KEY = r"(P\d{2})(T\d{2})(C\d{2})(G\d{2})(D\d{2})(S\d{2})"
 
 
-def members(spark: SparkSession, archives: str, suffix: str) -> DataFrame:
-    """archive, stem, content of the members with this suffix (in any case), license files left out; a stem's last member counts."""
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(*(c.to_pylist() for c in batch.columns)):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    named = {}
-                    for info in z.infolist():
-                        base = info.filename.rsplit("/", 1)[-1]
-                        if base.lower().endswith(suffix.lower()) and base.lower() != "license.txt":
-                            named[base.rsplit(".", 1)[0]] = info
-                    for stem, info in sorted(named.items()):
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stem]), pa.array([z.read(info).decode("utf-8", "replace")])], names=["archive", "stem", "content"])
-
-    files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    return files.mapInArrow(unzip, "archive string, stem string, content string")
-
-
 def annotations(labels: DataFrame, codes: DataFrame) -> DataFrame:
     """(recording, content) of annotation files to recording, ord, gesture, direction, segment, start_s, end_s. A line is a
     time and a code; others are skipped. An annotation ends where the next begins, pauses (_) included; codes is the
