@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recurrence import Cascade
 from ..functions.signal import PAD, biquads, spectral_arc_length
-from ..sources.tables import with_package
+from ..sources.tables import with_package, written
 from . import geometry as G
 from .timeseries import gradient
 
@@ -60,9 +60,9 @@ def _own_rate(t: np.ndarray) -> float:
     return 1 / np.median(steps) if len(steps) and np.median(steps) > 0 else 0.0
 
 
-def resample_then_filter(t, v):
+def resample_then_filter(t, v, cutoff=CUTOFF):
     t, v = uniform(t, v, RATE)
-    return t, zero_phase(v, CUTOFF, RATE)
+    return t, zero_phase(v, cutoff, RATE)
 
 
 def fixed_rate(t, v):
@@ -70,8 +70,8 @@ def fixed_rate(t, v):
     return np.arange(len(t)) / RATE, zero_phase(v, CUTOFF, RATE)
 
 
-def filter_then_resample(t, v):
-    return uniform(t, zero_phase(v, CUTOFF, _own_rate(t)), RATE)
+def filter_then_resample(t, v, cutoff=CUTOFF):
+    return uniform(t, zero_phase(v, cutoff, _own_rate(t)), RATE)
 
 
 def filter_at_own_rate(t, v):
@@ -86,13 +86,15 @@ CONDITIONS: dict[str, Callable] = {f.__name__: f for f in (resample_then_filter,
 
 
 def preprocessed(pose: DataFrame, key: str = "label", conditions: dict[str, Callable] = CONDITIONS) -> DataFrame:
-    """(key, condition, joint, frame, t, x, y, z) under each condition, gaps filled first. pose: (key, joint, frame, t, x, y, z)."""
+    """(key, condition, joint, frame, t, x, y, z) under each condition, gaps filled first, times from
+    the first sample's on. pose: (key, joint, frame, t, x, y, z)."""
     with_package(pose.sparkSession)
     kind = pose.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("frame", kind="stable")
         t = group["t"].to_numpy(float)
+        t = t - t[0]
         v = np.stack([filled(group[c].to_numpy(float)) for c in "xyz"], 1)
         parts = []
         for name, of in conditions.items():
@@ -126,11 +128,16 @@ def endpoint_smoothness(body: DataFrame, key: str) -> DataFrame:
     return signal.select(key, spectral_arc_length(F.col("v"), RATE).alias("sparc"))
 
 
+def extracted(made: DataFrame, key: str = "label") -> DataFrame:
+    """key, condition, sixteen features of preprocessed trajectories: (key, condition, joint, frame, t, x, y, z)."""
+    made = made.withColumn("_segment", F.concat_ws("|", F.col(key).cast("string"), "condition"))
+    body = written(G.in_body_frame(G.frames(made, "_segment"), "_segment"), "body")  # four parts read it
+    out = made.select("_segment", key, "condition").distinct()
+    for part in (G.angle_features(body, "_segment"), G.pelvis_features(body, "_segment"), G.velocity_features(body, "_segment"), endpoint_smoothness(body, "_segment")):
+        out = out.join(part, "_segment")
+    return out.drop("_segment")
+
+
 def feature_table(pose: DataFrame, key: str = "label", conditions: dict[str, Callable] = CONDITIONS) -> DataFrame:
     """key, condition, sixteen features, missing_rate, jump_outlier_rate: one row per trajectory and condition."""
-    made = preprocessed(pose, key, conditions).withColumn("segment", F.concat_ws("|", F.col(key).cast("string"), "condition"))
-    body = G.in_body_frame(G.frames(made, "segment"), "segment")
-    out = made.select("segment", key, "condition").distinct()
-    for part in (G.angle_features(body, "segment"), G.pelvis_features(body, "segment"), G.velocity_features(body, "segment"), endpoint_smoothness(body, "segment")):
-        out = out.join(part, "segment")
-    return out.drop("segment").join(quality(pose, key), key)
+    return extracted(preprocessed(pose, key, conditions), key).join(quality(pose, key), key)

@@ -15,9 +15,14 @@ from .timeseries import gradient
 JOINTS = (
     "pelvis spine_shoulder hip_l hip_r knee_l knee_r ankle_l ankle_r shoulder_l shoulder_r elbow_l elbow_r wrist_l wrist_r head foot_l foot_r"
 ).split()
-#: Angles at the middle joint; each stands for both sides.
-ANGLES = {"knee": ("hip", "knee", "ankle"), "hip": ("shoulder", "hip", "knee"), "ankle": ("knee", "ankle", "foot"), "elbow": ("shoulder", "elbow", "wrist"), "shoulder": ("elbow", "shoulder", "hip")}
-ENDPOINTS = ("head", "wrist_l", "wrist_r", "ankle_l", "ankle_r")
+#: Angles at the middle joint, each for both sides, and the points whose speed counts.
+ANGLES = {"knee": ("hip", "knee", "ankle"), "hip": ("pelvis", "hip", "knee"), "ankle": ("knee", "ankle", "foot"), "elbow": ("shoulder", "elbow", "wrist"), "shoulder": ("spine_shoulder", "shoulder", "elbow")}
+ENDPOINTS = ("wrist_l", "wrist_r", "ankle_l", "ankle_r", "pelvis")
+
+
+def sided(joint: str, side: str) -> str:
+    """A joint's name on a side; pelvis and spine have none."""
+    return joint if joint in JOINTS else f"{joint}_{side}"
 
 
 def point(points: Column, joint: str) -> Column:
@@ -43,7 +48,7 @@ def angle(a: Column, b: Column, c: Column) -> Column:
 
 
 def side_angle(points: Column, name: str, side: str) -> Column:
-    return angle(*(point(points, f"{j}_{side}") for j in ANGLES[name]))
+    return angle(*(point(points, sided(j, side)) for j in ANGLES[name]))
 
 
 def frames(pose: DataFrame, key: str = "label") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agreement_queries, audit_queries, geometry_queries, model_queries, relational_queries, ridge_queries, source_queries, timeseries_queries
+from . import agreement_queries, audit_queries, geometry_queries, model_queries, paired_queries, relational_queries, ridge_queries, source_queries, timeseries_queries
 
-MODULES = [agreement_queries, relational_queries, timeseries_queries, geometry_queries, model_queries, audit_queries, ridge_queries, source_queries]
+MODULES = [agreement_queries, relational_queries, timeseries_queries, geometry_queries, model_queries, audit_queries, ridge_queries, source_queries, paired_queries]
 
 
 def queries() -> dict:

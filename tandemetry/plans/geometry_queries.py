@@ -111,7 +111,7 @@ def _at(joint: str, c: str) -> str:
 
 
 def _angle_sql(name: str, side: str) -> str:
-    a, b, c = (f"{j}_{side}" for j in G.ANGLES[name])
+    a, b, c = (G.sided(j, side) for j in G.ANGLES[name])
     u, v = [f"({_at(a, k)} - {_at(b, k)})" for k in "xyz"], [f"({_at(c, k)} - {_at(b, k)})" for k in "xyz"]
     uv, uu, vv = (" + ".join(f"{p} * {q}" for p, q in zip(x, y)) for x, y in ((u, v), (u, u), (v, v)))
     return f"acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({uv}) / greatest(sqrt({uu}) * sqrt({vv}), 1e-12::DOUBLE))))"
