@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tandemetry.operators import conditions as C
 from tandemetry.operators import geometry as G
 from tandemetry.operators import paired_features as P
-from tandemetry.plans import catalog, paired_queries, views
+from tandemetry.plans import views
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "participant string, segment string, sensor string, joint int, frame long, t double, x double, y double, z double"
@@ -63,7 +63,7 @@ def test_scales(compared, poses):
                 assert none[f] == pytest.approx(own[f] * by) and shared[f] == pytest.approx(none[f] / (shared.scale if f in P.SCALED else 1))
     lost = P.trunk_scales(poses).filter("participant != 'b'")
     who = poses.select("segment", "participant").distinct()
-    made = P._extracted(P.prepared(poses.filter("segment = 'b22'")))
+    made = poses.sparkSession.createDataFrame([("b22", n, p, *[1.0] * len(P.FEATURES)) for n, p in (("reference", "matched"), ("other", "timed"))], ["segment", "sensor", "preparation", *P.FEATURES])
     with pytest.raises(Exception, match="no scale of b"):
         P.compared(made, who, lost).collect()
     assert P.compared(made, who, lost, {"scale_none": P.COMPARISONS["scale_none"]}).count() == 2
@@ -98,9 +98,10 @@ def test_a_delay_is_found_and_taken_out(compared, poses):
 
 def test_short_and_absent_segments(spark, poses):
     short = poses.filter("t < 0.2 and segment != 'alone'")
-    assert P.lags(P.pelvis_speed(P.prepared(short))).count() == 0
-    assert {r.comparison for r in P.paired_features(short).select("comparison").distinct().collect()} == {*P.COMPARISONS}
-    assert P.paired_features(poses.limit(0)).count() == 0
+    made = P.prepared(short)
+    found = P.lags(P.pelvis_speed(made))
+    assert found.count() == 0 and P.lag_corrected(made, found).count() == 0
+    assert P.prepared(poses.limit(0)).count() == 0
 
 
 def test_shifted_bounds(spark):
@@ -114,11 +115,3 @@ def test_shifted_bounds(spark):
     want = {r.segment: r for r in C.extracted(C.preprocessed(plain, "segment", {"timed": C.resample_then_filter}), "segment").collect()}
     for s, shift in (("s", 0), ("s", -2), ("e", 1)):
         assert all(got[s, shift][f] == pytest.approx(want[f"{s}{shift}"][f], abs=1e-9) for f in P.FEATURES)
-
-
-def test_registered(spark):
-    rows = catalog.queries()["paired_features"](spark, SF).collect()
-    segments = paired_queries.two_sensors(spark, SF).select("segment").distinct().count()
-    per = {c: {r.segment for r in rows if r.comparison == c} for c in {r.comparison for r in rows}}
-    assert all(len(per[c]) == segments for c in P.COMPARISONS) and len({(r.segment, r.comparison, r.sensor) for r in rows}) == len(rows)
-    assert catalog.queries()["shifted_features"](spark, SF).count() > 0
