@@ -2,12 +2,13 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The addresses alone, without texts, meet the
 ledger: only (blob, rule version) pairs that it lacks are scanned. Their texts are fetched once per blob; where nothing is
-new, no text is moved at all. The findings are joined back to all paths that hold the blob. A group of copies is one blob:
+new, no text is moved at all. A short list of unseen blobs is sent to the texts, a long one as a bitmap of hashed addresses
+of a bounded size: rows that it rules out stay where they are, and the exact list decides on the others. The findings are joined back to all paths that hold the blob. A group of copies is one blob:
 map-side aggregation already folds it. A run that dies before the append has recorded nothing, one that dies after it
 finds its pairs done.
 
 A rule's matches are leftmost and non-overlapping. Their places come from the regular expression's matches and the gaps
-between them: a match starts where the lengths before it end. Offsets are in code points, the end exclusive.
+between them: a match starts where the lengths before it end, added up in blocks. Offsets are in code points, the end exclusive.
 
 Defined results: a null text is the empty text; a null id stays null; repeated rows give the same findings each; extra
 columns are ignored; empty tables give empty tables. Of rules that share a start, the one listed first comes first.
@@ -54,6 +55,8 @@ RULES = (
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Matches in a block: an array grows by copying, so a long list is a list of blocks until its end.
+BLOCK = 128
 
 
 def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
@@ -61,16 +64,23 @@ def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
 
     def placed(found: Column) -> Column:
         gaps, whole, part = found["gaps"], found["whole"], found["part"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+        count = F.size(whole)
+        none = F.array().cast(SPAN)
 
         def step(acc: Column, i: Column) -> Column:
             begin = acc["at"] + F.get(gaps, i)
             end = begin + F.get(whole, i)
             span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-            good = F.when(F.get(part, i) >= rule.min_length, F.array(span)).otherwise(F.array().cast(SPAN))
+            good = F.when(F.get(part, i) >= rule.min_length, F.array(span)).otherwise(none)
             return F.struct(end.alias("at"), F.concat(acc["spans"], good).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda acc: acc["spans"])
+        def block(acc: Column, first: Column) -> Column:
+            inside = F.sequence(first, F.least(first + BLOCK, count) - 1)
+            done = F.aggregate(inside, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["blocks"], F.array(d["spans"])).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
+        return F.aggregate(F.sequence(F.lit(0), count - 1, F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["blocks"]))
 
     pattern = F.lit(rule.pattern)
     lengths = lambda c: F.transform(c, F.length)
@@ -82,8 +92,10 @@ def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), let(found, placed)).otherwise(F.array().cast(SPAN))
 
 
-#: Unseen blobs up to which their list is sent to the texts (some 150 bytes each); beyond it the texts are folded first.
+#: Unseen blobs up to which their list is sent to the texts (some 150 bytes each); beyond it a bitmap of their hashes is.
 FEW_BLOBS = 100_000
+#: Bits of the bitmap for each unseen blob, and at most (64 MB); a part of it, as Spark's bitmap functions make it, has PART.
+BLOB_BITS, MOST_BITS, PART = 16, 1 << 29, 1 << 15
 
 
 def unseen(blobs: DataFrame, rules: tuple[SecretRule, ...], ledger: DataFrame | None) -> DataFrame:
@@ -104,11 +116,24 @@ def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
     return blobs.select("blob", F.col("todo").alias("scanned"), F.concat(*new).alias("spans"))
 
 
-def _texts(rows: DataFrame, todo: DataFrame) -> DataFrame:
-    """(blob, todo, text), one row for each blob of todo. rows: (blob, text)."""
-    if todo.count() <= FEW_BLOBS:
+def _maybe(rows: DataFrame, todo: DataFrame, n: int) -> DataFrame:
+    """The rows whose blob's bit is set by some of the n blobs of todo, all rows of these among them; rows aren't moved."""
+    bits = min(max(PART, 1 << (n * BLOB_BITS - 1).bit_length()), MOST_BITS)
+    place = F.pmod(F.xxhash64("blob"), F.lit(bits))
+    part, bit = F.floor(place / PART), F.pmod(place, F.lit(PART))
+    parts = todo.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    return rows.join(F.broadcast(parts), (part == F.col("part")) & is_set).select("blob", "text")
+
+
+def _texts(rows: DataFrame, todo: DataFrame, first_run: bool) -> DataFrame:
+    """(blob, todo, text), one row for each blob of todo. rows: (blob, text). In a first run every row is wanted."""
+    n = todo.count()
+    if n <= FEW_BLOBS:
         return rows.join(F.broadcast(todo), "blob").groupBy("blob").agg(F.first("todo").alias("todo"), F.first("text").alias("text"))
-    return rows.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+    wanted = rows if first_run else _maybe(rows, todo, n)
+    return wanted.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[SecretRule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
@@ -127,7 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         ledger = None
     todo = materialize(unseen(paths, rules, ledger), "unseen")
     if ledger is None or not todo.isEmpty():
-        scan_blobs(_texts(rows.select("blob", "text"), todo), rules).write.mode("append").parquet(path)
+        scan_blobs(_texts(rows.select("blob", "text"), todo, ledger is None), rules).write.mode("append").parquet(path)
     return paths.join(findings(spark.read.parquet(path), rules), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
