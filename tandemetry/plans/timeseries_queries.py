@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import quality_bucket, r6
 from ..operators import long_series as L
+from ..operators import resampling as R
 from ..operators import timeseries as T
 from .views import seconds, series, table
 
@@ -14,6 +15,8 @@ SERIES = """timed AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6::
 series AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a, event_id) AS frame, a - min(a) OVER (PARTITION BY user_id) AS t, v FROM timed)"""
 STEP = 3600.0
 RATE = 1 / 21600.0
+#: Participants, each with the recordings of several users; replicates of the drift's mean.
+PARTICIPANTS, DRIFT_REPS = 20, 2000
 
 
 def strict_time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +145,19 @@ def clock_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", *(r6(c).alias(c) for c in ("slope", "intercept", "r", "slope_se")))
 
 
+def drift_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of participants' mean drifts, a user being a recording of a participant, with its percentile interval over
+    participants drawn with replacement. Recordings without a slope don't count, nor do participants without recordings."""
+    slopes = T.drift(series(spark, sf_dir).withColumn("day", F.col("t") / 86400.0), ["user_id"], "day", "v").dropna(subset=["slope"])
+    means = slopes.groupBy(F.pmod("user_id", F.lit(PARTICIPANTS)).alias("participant")).agg(F.avg("slope").alias("m"))
+    draw = (F.col("rep") * 7919 + F.col("slot") * 104729 + F.col("rep") * F.col("slot") * 31).cast("long")
+    again = means.join(R.drawn_weights(means, "participant", DRIFT_REPS, draw), "participant").groupBy("rep").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
+    whole = means.groupBy(F.lit(-1).alias("rep")).agg(F.avg("m").alias("mean"))
+    drawn = F.when(F.col("rep") >= 0, F.col("mean"))
+    q = lambda p, n: r6(F.percentile(drawn, F.lit(p))).alias(n)
+    return again.unionByName(whole).agg(r6(F.max(F.when(F.col("rep") < 0, F.col("mean")))).alias("mean"), F.count(drawn).alias("reps"), q(0.025, "low"), q(0.975, "high"))
+
+
 _STRICT = f"kept AS (SELECT * FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY frame) AS b FROM series) WHERE b IS NULL OR t - b > {STEP})"
 _TWO = """raw AS (SELECT user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS t, avg(value) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
 span AS (SELECT user_id, event_type, min(t) AS lo, max(t) AS hi FROM raw GROUP BY ALL),
@@ -200,5 +216,9 @@ SQL = {
  SELECT user_id, lag::INTEGER AS lag, count(*)::BIGINT AS n, round(avg(abs(q - k)), 6) + 0.0 AS before, round(avg(abs(q - k2)), 6) + 0.0 AS after FROM two JOIN mv USING (user_id, i) GROUP BY ALL HAVING count(*) >= 8""",
     "clock_drift": f"""WITH {SERIES}, d AS (SELECT user_id, t / 86400 AS x, v AS y FROM series), m AS (SELECT user_id, count(*)::BIGINT AS n, count(DISTINCT x) AS k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, var_samp(x) AS vx, var_samp(y) AS vy FROM d GROUP BY 1)
  SELECT user_id, n, {_Q('slope')} AS slope, {_Q('intercept')} AS intercept, {_Q('r')} AS r, {_Q('sqrt(greatest(0, 1 - r * r) * vy / (vx * (n - 2)))')} AS slope_se FROM m WHERE n >= 3 AND k >= 2""",
+    "drift_bootstrap": f"""WITH {SERIES}, d AS (SELECT user_id, t / 86400 AS x, v AS y FROM series), m AS (SELECT user_id, count(*) AS n, count(DISTINCT x) AS k, regr_slope(y, x) AS slope FROM d GROUP BY 1),
+ p AS (SELECT user_id % {PARTICIPANTS} AS participant, avg(slope) AS m FROM m WHERE n >= 3 AND k >= 2 GROUP BY 1), who AS (SELECT m, row_number() OVER (ORDER BY participant) - 1 AS i, count(*) OVER () AS k FROM p),
+ slots AS (SELECT rep, slot FROM range(0, {DRIFT_REPS}) AS r(rep), range(0, (SELECT count(*) FROM who)) AS s(slot)), again AS (SELECT rep, avg(m) AS mean FROM slots JOIN who ON i = (rep * 7919 + slot * 104729 + rep * slot * 31) % k GROUP BY 1)
+ SELECT (SELECT {_Q('avg(m)')} FROM p) AS mean, count(*)::BIGINT AS reps, {_Q('quantile_cont(mean, 0.025)')} AS low, {_Q('quantile_cont(mean, 0.975)')} AS high FROM again""",
 }
-QUERIES = {f.__name__: f for f in (strict_time_filter, gradient_series, gap_fill, interval_stats, uniform_resample, asof_nearest, boundary_shift, overlap_lag, lag_quality_summary, lag_corrected, clock_drift, long_gradient, long_gap_fill, long_resample, long_lowpass)}
+QUERIES = {f.__name__: f for f in (strict_time_filter, gradient_series, gap_fill, interval_stats, uniform_resample, asof_nearest, boundary_shift, overlap_lag, lag_quality_summary, lag_corrected, clock_drift, drift_bootstrap, long_gradient, long_gap_fill, long_resample, long_lowpass)}
