@@ -66,7 +66,9 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> int:
 
 def ranked(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """df with rank_<value> for each value, ties sharing their mean rank. Equal values are counted first, in each task and
-    then together, so the running sums go over distinct values only; ranks come back by a join on the value."""
+    then together, so the running sums go over distinct values only; ranks come back by a join on the value. df is written
+    first: were it made anew for each side, a mean's last bits could differ between the two, and rows would find no rank."""
+    df = written(df, "ranked")
     for v in values:
         counts = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
         w = Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)

@@ -59,7 +59,7 @@ def bootstrap_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of a participant's mean price and label, with its percentile interval over rows drawn with replacement.
     Ranks are taken anew in each replicate; replicates without spread are left out."""
     m = obs(spark, sf_dir).groupBy("sensor", "participant").agg(F.avg("extendedprice").alias("m")).join(target(spark, sf_dir), "participant")
-    placed = m.withColumn("place", F.row_number().over(Window.partitionBy("sensor").orderBy("participant")) - 1)
+    placed = tables.written(m.withColumn("place", F.row_number().over(Window.partitionBy("sensor").orderBy("participant")) - 1), "placed")
     sizes = placed.groupBy("sensor").agg(F.count(F.lit(1)).alias("size"))
     slots = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(RHO_REPS)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     drawn = slots.withColumn("place", F.pmod(F.col("rep") * 7919 + F.col("slot") * 104729 + F.col("rep") * F.col("slot") * 31, F.col("size")))
