@@ -46,7 +46,12 @@ class Cascade:
         for b in range(whole):
             y[b] += self.seen @ state
             state = self.kept @ state + added[b]
-        rest, state = self._run(x[whole * BLOCK :], state)
+        rest = x[whole * BLOCK :]
+        if len(rest):  # a block's matrices, cut to the samples left
+            m = len(rest)
+            y_rest = self.seen[:m] @ state + self.forced[:m, :m] @ rest
+            state = self.over(m) @ state + self.added[:, BLOCK - m :] @ rest
+            rest = y_rest
         return np.concatenate([y.reshape(whole * BLOCK, x.shape[1]), rest]), state
 
     def over(self, samples: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Preprocessing conditions of a trajectory, and the sixteen features of each: the composed feature table.
 
-A trajectory is grouped by joint, so a task holds one joint's samples at a time; NumPy filters them in time linear in their
-number, at the trajectory's own rate. A condition is a sequence of steps, so that filtering before and after resampling can
+A trajectory is sorted by joint, so a task holds one joint's samples and one batch at a time; NumPy filters them in time linear
+in their number, at the trajectory's own rate. A condition is a sequence of steps, so that filtering before and after resampling can
 be compared. The features come from the operators of ``geometry`` on all conditions at once, one key per condition.
 
 Defined results: a coordinate that is null, NaN or infinite is filled linearly by index, by the nearest value at the ends,
@@ -11,15 +11,18 @@ a key of its own; an empty table gives no rows; repeated frames count as samples
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recurrence import Cascade
-from ..functions.signal import PAD, biquads, spectral_arc_length
+from ..functions.signal import PAD, arc_length, biquads
 from ..sources.tables import with_package, written
 from . import geometry as G
 from .timeseries import gradient
@@ -33,13 +36,18 @@ def filled(v: np.ndarray) -> np.ndarray:
     return np.interp(at, at[good], v[good]) if good.any() else np.zeros(len(v))
 
 
+@lru_cache(maxsize=64)
+def _cascade(cutoff: float, rate: float) -> Cascade:
+    return Cascade(biquads(cutoff, rate))
+
+
 def zero_phase(v: np.ndarray, cutoff: float, rate: float) -> np.ndarray:
     """The filter of ``signal.lowpass`` over the rows of v, column by column."""
     n = len(v)
     if n < PAD + 1 or not 0 < cutoff < rate / 2:
         return v
     x = np.concatenate([2 * v[0] - v[PAD:0:-1], v, 2 * v[-1] - v[::-1][1 : PAD + 1]])
-    cascade = Cascade(biquads(cutoff, rate))
+    cascade = _cascade(float(cutoff), float(rate))
     for _ in range(2):
         x = cascade.run(x, cascade.steady(x[0]))[0][::-1]
     return x[PAD : PAD + n]
@@ -90,21 +98,69 @@ def preprocessed(pose: DataFrame, key: str = "label", conditions: dict[str, Call
     the first sample's on. pose: (key, joint, frame, t, x, y, z)."""
     with_package(pose.sparkSession)
     kind = pose.schema[key].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame", kind="stable")
-        t = group["t"].to_numpy(float)
-        t = t - t[0]
-        v = np.stack([filled(group[c].to_numpy(float)) for c in "xyz"], 1)
-        parts = []
-        for name, of in conditions.items():
-            times, out = of(t, v)
-            rows = pd.DataFrame(out, columns=list("xyz"))
-            parts.append(rows.assign(condition=name, joint=group["joint"].iloc[0], frame=np.arange(len(rows)), t=times, **{key: group[key].iloc[0]}))
-        return pd.concat(parts)[[key, "condition", "joint", "frame", "t", "x", "y", "z"]]
-
-    schema = f"{key} {kind}, condition string, joint int, frame long, t double, x double, y double, z double"
-    return pose.select(key, F.col("joint").cast("int").alias("joint"), "frame", "t", "x", "y", "z").groupBy(key, "joint").applyInPandas(run, schema)
+    rows = pose.select(key, F.col("joint").cast("int").alias("joint"), F.col("frame").cast("double").alias("frame"), *(F.col(c).cast("double").alias(c) for c in ("t", *"xyz")))
+    dealt = rows.repartition(key, "joint").sortWithinPartitions(key, "joint", F.asc_nulls_last("frame"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches):
+            start = np.concatenate([[0], _changes(part), [part.num_rows]])
+            t, xyz = _numbers(part, "t"), np.stack([_numbers(part, c) for c in "xyz"], 1)
+            made, held = [], 0
+            for a, b in zip(start[:-1], start[1:]):
+                own, v = t[a:b] - t[a], np.stack([filled(c) for c in xyz[a:b].T], 1)
+                for name, of in conditions.items():
+                    made.append((a, name, *of(own, v)))
+                    held += len(made[-1][2])
+                if held >= OUT:
+                    yield _made(part, made)
+                    made, held = [], 0
+            if made:
+                yield _made(part, made)
+
+    return dealt.mapInArrow(run, f"{key} {kind}, condition string, joint int, frame long, t double, x double, y double, z double")
+
+
+#: Rows of a batch that a task gives back.
+OUT = 20_000
+
+
+def _numbers(part: pa.RecordBatch, c: str) -> np.ndarray:
+    return part.column(c).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _changes(part: pa.RecordBatch) -> np.ndarray:
+    """The rows whose key or joint isn't that of the row before."""
+    codes = [pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in part.columns[:2]]
+    return np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew, so that no key and joint goes on in the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = not held or any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in (0, 1))
+        cuts = _changes(batch)
+        cut = int(cuts[-1]) if len(cuts) else 0
+        if held and (new or cut):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _made(part: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
+    """Rows of (first row, condition, times, coordinates)."""
+    size = [len(m[2]) for m in made]
+    at = pa.array(np.repeat([m[0] for m in made], size))
+    name = pa.array([m[1] for m in made], pa.string()).take(pa.array(np.repeat(np.arange(len(made)), size)))
+    v = np.concatenate([m[3] for m in made])
+    out = [part.column(0).take(at), name, part.column(1).take(at), np.concatenate([np.arange(n) for n in size]), np.concatenate([m[2] for m in made]), *(np.ascontiguousarray(c) for c in v.T)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in out], names=[part.schema.names[0], "condition", "joint", "frame", "t", "x", "y", "z"])
 
 
 def _missing(c: str) -> Column:
@@ -125,12 +181,18 @@ def endpoint_smoothness(body: DataFrame, key: str) -> DataFrame:
     d = flat.select(key, "frame", *(gradient([key], "frame", "t", n).alias(n) for n, _ in ends))
     speed = sum(F.sqrt(sum(F.col(f"e_{e}_{c}") * F.col(f"e_{e}_{c}") for c in "xyz")) for e in G.ENDPOINTS) / len(G.ENDPOINTS)
     signal = d.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", speed.alias("v")))), lambda s: s["v"]).alias("v"))
-    return signal.select(key, spectral_arc_length(F.col("v"), RATE).alias("sparc"))
+
+    @F.pandas_udf("double")
+    def length(signals: pd.Series) -> pd.Series:
+        return pd.Series([arc_length(np.asarray(s, float), RATE) for s in signals], dtype="Float64")
+
+    with_package(body.sparkSession)
+    return signal.select(key, length("v").alias("sparc"))
 
 
 def extracted(made: DataFrame, key: str = "label") -> DataFrame:
     """key, condition, sixteen features of preprocessed trajectories: (key, condition, joint, frame, t, x, y, z)."""
-    made = made.withColumn("_segment", F.concat_ws("|", F.col(key).cast("string"), "condition"))
+    made = written(made.withColumn("_segment", F.concat_ws("|", F.col(key).cast("string"), "condition")), "made")  # the frames and the names read it
     body = written(G.in_body_frame(G.frames(made, "_segment"), "_segment"), "body")  # four parts read it
     out = made.select("_segment", key, "condition").distinct()
     for part in (G.angle_features(body, "_segment"), G.pelvis_features(body, "_segment"), G.velocity_features(body, "_segment"), endpoint_smoothness(body, "_segment")):
