@@ -5,7 +5,7 @@ A series is the rows of one key (a user, a segment); windows never span keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -25,28 +25,33 @@ def gradient(key: list[str], order: str, t: str, v: str) -> Column:
     return F.when(t0.isNull() & t1.isNull(), F.lit(0.0)).when(t0.isNull(), right).when(t1.isNull(), left).otherwise(inner)
 
 
+def _sides(key: list[str], order: list[str]) -> tuple[WindowSpec, WindowSpec]:
+    """The rows up to a row, and those from it on in the opposite order, so that the last of either is the nearest. A frame
+    that ends with the partition is gone through anew for each row; one that begins with it only grows."""
+    back = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
+    return tuple(w.rowsBetween(Window.unboundedPreceding, 0) for w in (Window.partitionBy(*key).orderBy(*order), back))
+
+
 def fill_gaps(key: list[str], order: str, v: str) -> Column:
     """A null becomes the linear interpolation by index between its neighbours, the nearest value at the ends, 0 if there is none."""
-    w = Window.partitionBy(*key).orderBy(order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, future = _sides(key, [order])
     at = F.when(F.col(v).isNotNull(), F.col(order))
-    a, b = F.last(v, ignorenulls=True).over(past), F.first(v, ignorenulls=True).over(future)
-    i, j = F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(future)
+    a, b = F.last(v, ignorenulls=True).over(past), F.last(v, ignorenulls=True).over(future)
+    i, j = F.last(at, ignorenulls=True).over(past), F.last(at, ignorenulls=True).over(future)
     between = a + (b - a) * (F.col(order) - i) / F.nullif(j - i, F.lit(0)).cast("double")
     return F.coalesce(F.col(v), between, a, b, F.lit(0.0))
 
 
 def interpolate(knots: DataFrame, grid: DataFrame, key: str, t: str = "t", values: tuple[str, ...] = ("v",)) -> DataFrame:
     """Values at the grid's times, linear between the knots before and after, clamped at the ends: an as-of join in one
-    sort. knots (key, t, values) with increasing times; grid (key, t, i). Grid points of a key without knots go away."""
+    sort in either direction. knots (key, t, values) with increasing times; grid (key, t, i). Grid points of a key without knots go away."""
     rows = knots.select(key, t, F.lit(None).cast("long").alias("i"), F.lit(0).alias("side"), *values)
     wanted = grid.select(key, t, F.col("i").cast("long").alias("i"), F.lit(1).alias("side"), *(F.lit(None).cast("double").alias(v) for v in values))
-    w = Window.partitionBy(key).orderBy(t, "side")
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, future = _sides([key], [t, "side"])
     known = F.when(F.col("side") == 0, F.col(t))
     both = rows.unionByName(wanted).select(
-        key, t, "i", "side", F.last(known, ignorenulls=True).over(past).alias("_ta"), F.first(known, ignorenulls=True).over(future).alias("_tb"),
-        *(F.last(v, ignorenulls=True).over(past).alias(f"_a_{v}") for v in values), *(F.first(v, ignorenulls=True).over(future).alias(f"_b_{v}") for v in values),
+        key, t, "i", "side", F.last(known, ignorenulls=True).over(past).alias("_ta"), F.last(known, ignorenulls=True).over(future).alias("_tb"),
+        *(F.last(v, ignorenulls=True).over(past).alias(f"_a_{v}") for v in values), *(F.last(v, ignorenulls=True).over(future).alias(f"_b_{v}") for v in values),
     )
 
     def at(v: str) -> Column:
