@@ -30,7 +30,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [*FEATURES, "gross"]
     scale = line.groupBy("sensor").agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"d_{c}") for c in columns))
     unit = [((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"d_{c}") > 0, F.col(f"d_{c}")).otherwise(1.0)).alias(c) for c in columns]
-    return line.join(who, "l_suppkey").join(scale, "sensor").select("participant", F.col("l_linenumber").alias("gesture"), "sensor", "key", *unit)
+    # the scale is a row per sensor: a merge join would bring all rows of a sensor to one task
+    return line.join(who, "l_suppkey").join(F.broadcast(scale), "sensor").select("participant", F.col("l_linenumber").alias("gesture"), "sensor", "key", *unit)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
