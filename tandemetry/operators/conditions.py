@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from ..functions.recurrence import Cascade
 from ..functions.signal import PAD, arc_length, biquads
 from ..sources.tables import with_package, written
 from . import geometry as G
+from .batches import changes, whole
 from .timeseries import gradient
 
 CUTOFF, RATE = 6.0, 30.0
@@ -102,8 +102,8 @@ def preprocessed(pose: DataFrame, key: str = "label", conditions: dict[str, Call
     dealt = rows.repartition(key, "joint").sortWithinPartitions(key, "joint", F.asc_nulls_last("frame"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole(batches):
-            start = np.concatenate([[0], _changes(part), [part.num_rows]])
+        for part in whole(batches):
+            start = np.concatenate([[0], changes(part), [part.num_rows]])
             t, xyz = _numbers(part, "t"), np.stack([_numbers(part, c) for c in "xyz"], 1)
             made, held = [], 0
             for a, b in zip(start[:-1], start[1:]):
@@ -128,31 +128,6 @@ def _numbers(part: pa.RecordBatch, c: str) -> np.ndarray:
     return part.column(c).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _changes(part: pa.RecordBatch) -> np.ndarray:
-    """The rows whose key or joint isn't that of the row before."""
-    codes = [pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in part.columns[:2]]
-    return np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted batches cut anew, so that no key and joint goes on in the next one."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = not held or any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in (0, 1))
-        cuts = _changes(batch)
-        cut = int(cuts[-1]) if len(cuts) else 0
-        if held and (new or cut):
-            yield pa.concat_batches([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield batch.slice(0, cut)
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _made(part: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
     """Rows of (first row, condition, times, coordinates)."""
     size = [len(m[2]) for m in made]

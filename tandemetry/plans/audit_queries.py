@@ -11,7 +11,7 @@ from ..operators import calibration as C
 from ..operators import gates
 from ..operators import ranking as R
 from ..operators.relational import ranked
-from ..operators.resampling import sample_without_replacement
+from ..operators.rotated_draws import cell_means
 from ..sources import tables
 from .agreement_queries import OBS, metrics_sql, show, show_sql
 from .model_queries import COEFS, TARGET, _coefs, _labels, _matrix, _R
@@ -20,16 +20,15 @@ from .views import FEATURES, cells, obs, target
 EQUALIZATIONS, FIRST = 40, 10
 
 
-def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replicates(spark: SparkSession, sf_dir: str, reps: int = EQUALIZATIONS) -> DataFrame:
     """rep, feature, n, mean of the reference sensor's observations, as many per cell as the other sensor has."""
     o = obs(spark, sf_dir).select("participant", "gesture", "sensor", *FEATURES)
     count = lambda s: F.count_if(F.col("sensor") == s)
     sizes = o.groupBy("participant", "gesture").agg(F.least(count("F"), count("O")).alias("k")).filter("k > 0")
-    many = o.filter(F.col("sensor") == "F").join(sizes, ["participant", "gesture"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(EQUALIZATIONS - 1))))
     # a draw by the row's own values, so that SQL can repeat it; equal rows are alike
-    draw = F.pmod(F.floor(F.col("extendedprice") * 100).cast("long") * 7919 + F.floor(F.col("quantity")).cast("long") * 31 + F.col("rep") * 40503, F.lit(10007))
-    kept = sample_without_replacement(many.withColumn("draw", draw), ["rep", "participant", "gesture"], ["draw", *FEATURES], F.col("k"))
-    return kept.unpivot(["rep"], list(FEATURES), "feature", "value").groupBy("rep", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    base = F.pmod(F.floor(F.col("extendedprice") * 100).cast("long") * 7919 + F.floor(F.col("quantity")).cast("long") * 31, F.lit(10007))
+    rows = o.filter(F.col("sensor") == "F").select("participant", "gesture", base.alias("base"), *FEATURES)
+    return cell_means(rows, sizes, ["participant", "gesture"], list(FEATURES), list(FEATURES), reps, 40503, 10007)
 
 
 def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten replicates, kept as they are for inspection."""
-    return _replicates(spark, sf_dir).filter(F.col("rep") < FIRST).select("rep", "feature", "n", r6("mean").alias("mean"))
+    return _replicates(spark, sf_dir, FIRST).select("rep", "feature", "n", r6("mean").alias("mean"))
 
 
 def within_sensor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda df: df.filter(F.col("sensor") == "F").unpivot(["participant", "gesture"], list(FEATURES), "feature", "value").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     full = of(o).select(F.lit("full").alias("regime"), "feature", "n", "mean")
     pair = of(o.join(both, ["participant", "gesture"], "left_semi")).select(F.lit("paired").alias("regime"), "feature", "n", "mean")
-    equal = _replicates(spark, sf_dir).filter("rep = 0").select(F.lit("equalized").alias("regime"), "feature", "n", "mean")
+    equal = _replicates(spark, sf_dir, 1).select(F.lit("equalized").alias("regime"), "feature", "n", "mean")
     return full.unionByName(pair).unionByName(equal).select("regime", "feature", "n", r6("mean").alias("mean"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandemetry.functions.recurrence import Cascade
 from tandemetry.functions.signal import arc_length, biquads, spectral_arc_length
 from tandemetry.operators import conditions as C
+from tandemetry.operators.batches import changes, whole
 from tandemetry.operators.timeseries import interpolate
 
 
@@ -45,10 +46,10 @@ def test_groups_over_batches():
     """Keys that end in a batch, go on over several, are null, or lie at a batch's edge."""
     sizes = [(None, 0, 3), ("a", 0, 25), ("a", 1, 4), ("b", 1, 6), ("c", 1, 2)]
     rows = [(k, j, float(i)) for k, j, n in sizes for i in range(n)]
-    whole = pa.RecordBatch.from_pylist([{"k": k, "joint": j, "frame": f} for k, j, f in rows])
+    rows_ = pa.RecordBatch.from_pylist([{"k": k, "joint": j, "frame": f} for k, j, f in rows])
     for width in (1, 3, 6, 7, 10, 100):
-        parts = list(C._whole(iter([whole.slice(a, width) for a in range(0, len(rows), width)])))
-        ends = [np.concatenate([[0], C._changes(p), [p.num_rows]]) for p in parts]
+        parts = list(whole(iter([rows_.slice(a, width) for a in range(0, len(rows), width)])))
+        ends = [np.concatenate([[0], changes(p), [p.num_rows]]) for p in parts]
         assert [int(x) for e in ends for x in np.diff(e)] == [n for _, _, n in sizes]
 
 
