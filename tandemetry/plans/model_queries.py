@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from ..operators import calibration as C
 from ..operators import fold_models as M
 from ..operators import gates
 from ..operators import ranking as R
+from ..operators import rotated_draws as D
 from ..operators.relational import ranked
-from ..operators.resampling import sample_without_replacement
 from ..sources import tables
 from ..streaming.windows import event_windows
 from .agreement_queries import OBS, metrics_sql, paired_sql
@@ -144,31 +145,48 @@ def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLITS = 200
 
 
-def _drawn(rows: DataFrame) -> DataFrame:
-    """Replicates with a key to draw by; the number is reduced first so that no product overflows."""
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    return reps.withColumn("draw", F.pmod(F.pmod("event_id", F.lit(1000003)) * 2654435761 + F.col("rep") * 40503, F.lit(1000003)))
+STEP, MODULUS = 40503, 1000003
+
+
+def _based(rows: DataFrame) -> DataFrame:
+    """Rows with the key that all replicates draw by, each from its own start; the number is reduced first so that no product
+    overflows."""
+    base = F.pmod(F.pmod("event_id", F.lit(MODULUS)) * 2654435761, F.lit(MODULUS))
+    return rows.withColumn("base", F.coalesce(base, F.lit(MODULUS)))
 
 
 def equalize_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many clicks as views per user, drawn without replacement; the mean difference per replicate."""
-    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view")).select("user_id", "event_type", "event_id", "value")
-    count = lambda e: F.count_if(F.col("event_type") == e)
-    sizes = ev.groupBy("user_id").agg(F.least(count("click"), count("view")).alias("k")).filter("k > 0")
-    rows = _drawn(ev.join(sizes, "user_id"))
-    kept = sample_without_replacement(rows, ["rep", "user_id", "event_type"], ["draw", "event_id"], F.col("k"))
-    mean = lambda e: F.avg(F.when(F.col("event_type") == e, F.col("value")))
-    return kept.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), r6(mean("click") - mean("view")).alias("difference"))
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view") & F.col("user_id").isNotNull())
+
+    def add(kind, base, value):
+        click = kind == "click"
+        k = int(min(click.sum(), (~click).sum()))
+        if not k:
+            return None
+        (nc, sc), (nv, sv) = (D.taken(base[i], value[i], k, SPLITS, STEP, MODULUS) for i in (click, ~click))
+        return np.stack([np.full(SPLITS, 2.0 * k), nc, sc, nv, sv], 1)
+
+    s = D.group_sums(_based(ev), ["user_id", "event_type"], "event_id", "value", add, 5)
+    mean = lambda i: F.get("s", F.lit(i + 1)) / F.nullif(F.get("s", F.lit(i)), F.lit(0.0))
+    return s.select("rep", F.get("s", F.lit(0)).cast("long").alias("n"), r6(mean(1) - mean(3)).alias("difference"))
 
 
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty per cent of a user's rows, one at least, held out; how far their mean lies from the others'."""
-    rows = _drawn(table(spark, sf_dir, "events").select("user_id", "event_id", "value"))
-    w = Window.partitionBy("rep", "user_id")
-    ranked = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("draw", "event_id")))
-    test = F.col("place") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.3))
-    u = ranked.groupBy("rep", "user_id").agg(F.count_if(test).alias("held"), F.avg(F.when(test, F.col("value"))).alias("a"), F.avg(F.when(~test, F.col("value"))).alias("b"))
-    return u.groupBy("rep").agg(F.sum("held").alias("held"), r6(F.avg(F.abs(F.col("a") - F.col("b")))).alias("mae"))
+
+    def add(_, base, value):
+        k = max(1, round(len(base) * 0.3))
+        there = ~np.isnan(value)
+        n, s = D.taken(base, value, k, SPLITS, STEP, MODULUS)
+        rest = there.sum() - n
+        both = (n > 0) & (rest > 0)
+        gap = np.abs(s / np.where(both, n, 1) - (value[there].sum() - s) / np.where(both, rest, 1))
+        return np.stack([np.full(SPLITS, float(k)), both, np.where(both, gap, 0.0)], 1)
+
+    s = D.group_sums(_based(table(spark, sf_dir, "events")), ["user_id"], "event_id", "value", add, 3)
+    part = lambda i: F.get("s", F.lit(i))
+    return s.select("rep", part(0).cast("long").alias("held"), r6(part(2) / F.nullif(part(1), F.lit(0.0))).alias("mae"))
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
