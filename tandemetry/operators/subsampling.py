@@ -44,7 +44,8 @@ def drawn_sums(rows: DataFrame, cells: DataFrame, keys: list[str], key: str, col
     sizes = folded.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct")).join(cells, keys)
     chunks = F.ceil(F.col("distinct") / chunk_rows)
     cell = F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 62) - 1)).alias("cell")
-    placed = folded.join(sizes, keys).select(*keys, key, *columns, "w", "k", cell, F.pmod(F.xxhash64(F.lit(seed), key), chunks).alias("chunk"))
+    # a row per cell: a merge join would bring all rows of a cell to one task, to be sorted there
+    placed = folded.join(F.broadcast(sizes), keys).select(*keys, key, *columns, "w", "k", cell, F.pmod(F.xxhash64(F.lit(seed), key), chunks).alias("chunk"))
     placed = written(placed, "cells")
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
