@@ -12,10 +12,10 @@ shares a key at every level, so no link is lost, and at the third level the dist
 ``COPIES`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Their fingerprints
 differ in up to 0.15 of the bits, so one blanked bit isn't enough: the fingerprint has ``WORDS`` words of 64 bits, and each
 word is indexed under ``VARIANTS`` keys in which all but ``KEPT`` of its bits are blanked. Equal keys meet, and nodes that
-differ in at most ``FAR`` bits of the first ``SEEN`` words are candidates; a key of more than ``RUN`` nodes isn't verified,
-all its nodes are candidates. A pair at 0.8 is missed with chance 5 in 100,000 by formula, and less above; ties decide
-more of the bits of few shingles, so sets of six or seven and one less reach 13 in 100,000, sets of five and four 1.4 in
-100. Keys are dealt out in rounds of ``ROUND`` a node, so no more of them lie on disk at once.
+differ in at most ``FAR`` bits of the ``SEEN`` words after the key's are candidates, so a pair that one word leaves out may
+be met by another; a key of more than ``RUN`` nodes isn't verified, all its nodes are candidates. A pair at 0.8 is missed
+with chance 5 in 100,000 (49 of 1,000,000 drawn), and less above. Keys are dealt out in rounds of ``ROUND`` a node, so no
+more of them lie on disk at once, and a row has few bytes that could be compressed, so it's as large in a larger table.
 The components of candidates hold every pair met. Only their members' texts are
 fetched, and inside a component the sets themselves are compared, rarest shingles first: only pairs at 0.8 or more, by
 exact count, are linked. A component of more than ``BLOCK`` nodes is dealt out to blocks twice, by two hashes, and compared
@@ -51,8 +51,8 @@ MAX_BITS = 3
 #: Fingerprints under one key that are compared in place.
 RUN = 4096
 COPY_SHINGLE, WORDS, VARIANTS, KEPT = 5, 24, 16, 20
-#: Words of a fingerprint that are compared, and the bits in which candidates differ there; at similarity 0.8 the mean is 39, the deviation 5.7.
-SEEN, FAR = 4, 64
+#: The words after the key's that are compared, and the bits in which candidates differ there; at similarity 0.8 the mean is 20, the deviation 4.1.
+SEEN, FAR = 2, 32
 #: Keys of a node that are dealt out at once; of fewer nodes more, up to so many rows.
 ROUND, ROUND_ROWS = 32, 2_000_000
 #: Nodes, and bytes of their sets, that a block of a component holds.
@@ -410,13 +410,15 @@ def _across(big: DataFrame, links: DataFrame) -> DataFrame:
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges that connect the nodes (fp, bits) that meet under a key and differ in at most FAR bits, and all of a crowded key."""
-    dealt = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    seen = [F.col("bits")[i].alias(f"w{i}") for i in range(SEEN)]
-    word, mask = F.col("bits")[F.floor(F.col("key") / VARIANTS).cast("int")], F.lit(_MASKS)[F.col("key")]
+    key = F.col("key")
+    word = lambda i: F.col("bits")[(key + i) % WORDS]
+    # two words that change from key to key: a row has the same few bytes in as many partitions as there may be, where four
+    # fixed ones were compressed away only while rows of a node lay side by side
+    columns = [word(0).bitwiseAND(F.lit(_MASKS)[key]).alias("k1"), key.cast("long").alias("k2"), "fp", *(word(i + 1).alias(f"w{i}") for i in range(SEEN))]
     size, edges = max(ROUND, ROUND_ROWS // max(nodes.count(), 1)), None
     for at in range(0, len(_MASKS), size):
         keys = F.explode(F.sequence(F.lit(at), F.lit(min(at + size, len(_MASKS)) - 1)))
-        rows = dealt.select(keys.alias("key"), "fp", "bits").select(F.xxhash64("key", word.bitwiseAND(mask)).alias("k1"), F.lit(0).cast("long").alias("k2"), "fp", *seen)
+        rows = nodes.select(keys.alias("key"), "fp", "bits").select(*columns)
         met = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(_links(RUN, FAR), _LINKS)
         found = materialize(met.filter("a != b").select("a", "b").distinct(), "met")
         edges = found if edges is None else edges.union(found)
@@ -437,7 +439,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def copy_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) that connect the nodes with a similarity of 0.8 or more that share a key."""
     prepare(signed.sparkSession)
-    nodes = materialize(signed.filter("size > 0").groupBy("fp").agg(F.any_value("bits").alias("bits")), "nodes")
+    nodes = signed.filter("size > 0").groupBy("fp").agg(F.any_value("bits").alias("bits"))
+    # dealt out once for all rounds: narrow rows are written in few files, and each makes many
+    nodes = materialize(nodes.repartition(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), "nodes")
     near = materialize(components(_contracted(_candidates(nodes).distinct())), "near")
     rows = signed.select("doc_id", "fp", "size").join(near, F.col("fp") == F.col("node")).groupBy("root", "fp", "size", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     members = materialize(rows.groupBy("root", "fp", "size").agg(F.min_by("doc_id", "doc_id").alias("member"), F.max("rows").alias("rows")), "members")

@@ -406,6 +406,30 @@ def test_copies_are_met_by_fingerprints(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to be shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rows_of_keys_take_no_more_bytes_in_more_partitions(spark, monkeypatch):
+    """A larger table has more partitions, so fewer rows of a text lie side by side to be compressed."""
+    monkeypatch.setattr(near_dedup, "_MASKS", near_dedup._MASKS[:64])
+    monkeypatch.setattr(near_dedup, "ROUND_ROWS", 0)
+    rng, n = np.random.default_rng(28), 20_000
+    rows = [(i, rng.integers(-(2**63), 2**63, near_dedup.WORDS).tolist()) for i in rng.integers(-(2**63), 2**63, n).tolist()]
+    nodes = spark.createDataFrame(rows, "fp long, bits array<long>").coalesce(4)
+    per_row = []
+    for partitions in ("12", "51"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        before = shuffled(spark)
+        near_dedup._candidates(nodes).count()
+        per_row.append((shuffled(spark) - before) / (64 * n))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert per_row[1] < 1.15 * per_row[0] and per_row[1] < 48
+
+
 @pytest.mark.parametrize("block", [1000, 4])
 def test_a_crowded_key_loses_no_copy(spark, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
