@@ -430,6 +430,16 @@ def test_rows_of_keys_take_no_more_bytes_in_more_partitions(spark, monkeypatch):
     assert per_row[1] < 1.15 * per_row[0] and per_row[1] < 48
 
 
+def test_copies_of_few_shingles_are_met(spark):
+    """One set is the other and a shingle: the one that is added may have the least hash."""
+    texts = []
+    for d in range(200):
+        w = [f"d{d}w{i}" for i in range(10 + d % 2 * 2)]  # six or eight shingles
+        texts += [" ".join(w[:-1]), " ".join(w)]
+    got = near_dedup.classes(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), scheme=near_dedup.COPIES).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("block", [1000, 4])
 def test_a_crowded_key_loses_no_copy(spark, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
