@@ -111,23 +111,31 @@ def interval_stats(series: DataFrame, key: str, order: str, t: str, slow: float)
 
 def overlap_correlations(two: DataFrame, key: str, lags: range, least: int = 8) -> DataFrame:
     """Pearson correlation of q[i] with k[i - lag] over their overlap, for each lag; null under ``least`` samples or without
-    spread. two: (key, i, q, k). A lag is an equi-join on the shifted index."""
+    spread. two: (key, i, q, k). A lag is an equi-join on the shifted index. ``noise`` bounds what the order of the rows can
+    change in r: it grows with the samples and with the means in units of the spread."""
     q = two.select(key, "i", "q").withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags])))
     k = two.select(key, F.col("i").alias("j"), "k")
     both = q.withColumn("j", F.col("i") - F.col("lag")).join(k, [key, "j"])
     n = F.count(F.lit(1))
-    m = both.groupBy(key, "lag").agg(n.alias("n"), F.covar_pop("q", "k").alias("c"), F.var_pop("q").alias("vq"), F.var_pop("k").alias("vk"))
+    m = both.groupBy(key, "lag").agg(
+        n.alias("n"), F.covar_pop("q", "k").alias("c"), F.var_pop("q").alias("vq"), F.var_pop("k").alias("vk"), F.avg("q").alias("mq"), F.avg("k").alias("mk"),
+    )
     spread = F.sqrt(F.col("vq") * F.col("vk"))
-    return m.select(key, "lag", "n", F.when((F.col("n") >= least) & (spread * F.col("n") > 1e-12), F.col("c") / F.nullif(spread, F.lit(0.0))).alias("r"))
+    far = lambda c: F.abs(f"m{c}") / F.sqrt(F.nullif(f"v{c}", F.lit(0.0)))
+    r = F.when((F.col("n") >= least) & (spread * F.col("n") > 1e-12), F.col("c") / F.nullif(spread, F.lit(0.0)))
+    return m.select(key, "lag", "n", r.alias("r"), (F.col("n") * F.lit(2.0**-52) * (4 + far("q") + far("k"))).alias("noise"))
 
 
 def best_lags(correlations: DataFrame, key: str, windows: tuple[int, ...]) -> DataFrame:
     """Per search window the lag of the largest correlation, the most negative on ties; whether it lies on the window's edge.
-    Without any correlation the row stands with a null lag and r, not on the edge."""
+    Correlations that their noise doesn't tell apart are ties: two straight lines correlate by 1 at every lag, and which sum
+    ends above or below depends on the order of the rows. Without any correlation the row stands with a null lag and r, not on
+    the edge."""
     w = correlations.withColumn("window", F.explode(F.array(*[F.lit(x) for x in windows]))).filter(F.abs("lag") <= F.col("window"))
-    best = w.groupBy(key, "window").agg(F.max(F.when(F.col("r").isNotNull(), F.struct("r", (-F.col("lag")).alias("back")))).alias("b"))
-    edge = F.coalesce(F.abs("b.back") == F.col("window"), F.lit(False))
-    return best.select(key, "window", (-F.col("b.back")).alias("lag"), F.col("b.r").alias("r"), edge.alias("on_edge"))
+    of = w.groupBy(key, "window").agg(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("lag", "r", "noise"))).alias("of"), F.max(F.col("r") - F.col("noise")).alias("sure"))
+    best = of.withColumn("b", F.array_min(F.filter("of", lambda x: x["r"] + x["noise"] >= F.col("sure"))))
+    edge = F.coalesce(F.abs("b.lag") == F.col("window"), F.lit(False))
+    return best.select(key, "window", F.col("b.lag").alias("lag"), F.col("b.r").alias("r"), edge.alias("on_edge"))
 
 
 def drift(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

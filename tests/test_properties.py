@@ -122,6 +122,17 @@ def test_delayed_signal_has_a_negative_lag(spark):
     assert best.lag == -12 and best.r > 0.99 and not best.on_edge
 
 
+def test_lags_that_only_rounding_tells_apart_are_ties(spark):
+    """Straight lines correlate by 1 at every lag, whatever their offset and slope; a bend that is small, but not noise, does count."""
+    rng = np.random.default_rng(3)
+    rows = [(20 * n + m, i, a + u * i, b + v * i) for n in (8, 9, 11, 14, 40) for m in range(20) for a, b, u, v in [(*rng.normal(0, 100, 2).tolist(), *rng.uniform(0.1, 9, 2).tolist())] for i in range(n)]
+    best = T.best_lags(T.overlap_correlations(spark.createDataFrame(rows, "key int, i long, q double, k double"), "key", range(-6, 7)), "key", (3, 6)).collect()
+    assert len(best) == 200 and all(b.lag == -min(b.window, b.key // 20 - 8) and abs(b.r - 1) < 1e-12 and b.on_edge == (abs(b.lag) == b.window) for b in best)
+    bent = spark.createDataFrame([(1, i, float(i), i + 1e-4 * (i == 19)) for i in range(20)], "key int, i long, q double, k double")
+    best = T.best_lags(T.overlap_correlations(bent, "key", range(-6, 7)), "key", (6,)).first()
+    assert best.lag == 1 and best.r < 1 + 1e-12
+
+
 def test_filter_gain():
     def gain(f):
         z = np.exp(-2j * np.pi * f / 30)
