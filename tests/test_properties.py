@@ -15,6 +15,7 @@ from tandemetry.operators import geometry as G
 from tandemetry.operators import ranking as R
 from tandemetry.operators import relational, resampling
 from tandemetry.operators import timeseries as T
+from tandemetry.plans import timeseries_queries as Q
 
 
 def pairs(spark, x, y, **keys):
@@ -133,6 +134,18 @@ def test_lags_that_only_rounding_tells_apart_are_ties(spark):
     assert best.lag == 1 and best.r < 1 + 1e-12
 
 
+def test_lag_queries_take_the_most_negative_of_tied_lags(spark, tmp_path):
+    """Two clicks and two views a user, on eleven points of the grid: eight are left at a lag of three."""
+    rng = np.random.default_rng(4)
+    ends = lambda: ((rng.uniform(0, 2000), v := rng.uniform(0, 99)), (434000 + rng.uniform(0, 20000), v + rng.uniform(1, 99)))
+    rows = [(user, kind, t, round(v, 2)) for user in range(40) for kind in ("click", "view") for t, v in ends()]
+    ev = spark.createDataFrame(rows, "user_id long, event_type string, t double, value double").withColumn("ts", F.expr("timestamp_micros(1704067200000000 + cast(t * 1e6 as long))").cast("timestamp_ntz"))
+    ev.select(F.monotonically_increasing_id().alias("event_id"), "ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    best = Q.overlap_lag(spark, str(tmp_path)).collect()
+    assert len(best) == 80 and all((b.lag, b.r, b.on_edge) == (-3, 1.0, b.window == 3) for b in best)
+    assert sorted((b.user_id, b.lag, b.n) for b in Q.lag_corrected(spark, str(tmp_path)).collect()) == [(user, -3, 8) for user in range(40)]
+
+
 def test_filter_gain():
     def gain(f):
         z = np.exp(-2j * np.pi * f / 30)
